@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 #: Entries that a per-worker cache may hold before it is emptied; a cache never changes a result.
@@ -97,12 +98,24 @@ def batches(it: Iterable[pa.RecordBatch], text: str, most: int = 4_000_000) -> I
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows, so that very long texts don't meet in one batch."""
+    """mapInArrow with batches bounded in rows and bytes, so that very long texts don't meet in one batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df.mapInArrow(fn, schema)
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Arrow batches bounded in bytes as well as in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return spark
+def extended(df: DataFrame, **columns: str) -> tuple[DataFrame, T.StructType]:
+    """``df`` without columns of these names, and its schema with them at the end: a clashing column is replaced."""
+    df = df.drop(*columns)
+    return df, T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items())).fields])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str, text_col: str) -> DataFrame:
+    """(label, text) of at most ``per_class`` rows of each of the labels 0 and 1: those of the smallest id hashes.
+
+    The ids alone are broadcast, which the bound allows; a document without a text counts as empty.
+    """
+    known = labels.where(learn).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
+    order = (F.xxhash64("_id"), F.col("_id"))
+    ids = known.where("_label = 0").orderBy(*order).limit(per_class).unionByName(known.where("_label = 1").orderBy(*order).limit(per_class))
+    return docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select(F.col("_label").cast("int").alias("label"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, mixing
+from gleaner.llm import fingerprints, languages, mixing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pareto_mix": mixing.op4_pareto_mix, "op9_order_minhash": fingerprints.op9_order_minhash}
+    return {
+        "op1_knn_quality": quality.op1_knn_quality,
+        "op4_pareto_mix": mixing.op4_pareto_mix,
+        "op5_zstd_language": languages.op5_zstd_language,
+        "op7_segment_toxicity": toxicity.op7_segment_toxicity,
+        "op9_order_minhash": fingerprints.op9_order_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
