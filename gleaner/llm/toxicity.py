@@ -130,7 +130,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cells: int = 256
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 5000, label: str = "toxic", drift: float = 0.25, prior: float = 1000.0, least_z: float = 4.0, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 5000, label: str = "toxic", drift: float = 0.25, prior: float = 0.03, least_z: float = 3.5, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     sample = checkpointed(labelled_sample(docs, labels, label, learn, per_class, id_col, text_col))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +147,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 5
             seen.add(r.key)
             n[r.label, np.frombuffer(r.bins, np.int32)] += 1
             rows_by[r.label] += 1
-    a = prior * (n.sum(0) + 0.01) / (n.sum() + 0.01 * BINS)
-    odds = [np.log((n[y] + a) / (n[y].sum() + prior - n[y] - a)) for y in (0, 1)]
+    a = prior * n.sum(0) + 1e-3
+    odds = [np.log((n[y] + a) / (n[y].sum() + a.sum() - n[y] - a)) for y in (0, 1)]
     delta = odds[1] - odds[0]
     z = delta / np.sqrt(1 / (n[0] + a) + 1 / (n[1] + a))
     scores = np.where((z >= least_z) & (delta >= least_odds), np.minimum(delta, 8.0), 0.0).astype(np.float32)
