@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, languages, mixing, quality, toxicity
+from gleaner.llm import fingerprints, languages, mixing, neardup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_quality": quality.op1_knn_quality,
+        "op3_dart_minhash": neardup.op3_dart_minhash,
         "op4_pareto_mix": mixing.op4_pareto_mix,
         "op5_zstd_language": languages.op5_zstd_language,
         "op7_segment_toxicity": toxicity.op7_segment_toxicity,
