@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, languages, mixing, neardup, quality, toxicity
+from gleaner.llm import fingerprints, languages, licenses, linededup, mixing, neardup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pareto_mix": mixing.op4_pareto_mix,
         "op5_zstd_language": languages.op5_zstd_language,
         "op7_segment_toxicity": toxicity.op7_segment_toxicity,
+        "op8_license_windows": licenses.op8_license_windows,
         "op9_order_minhash": fingerprints.op9_order_minhash,
+        "op10_line_chunks": linededup.op10_line_chunks,
     }
 
 
