@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, languages, licenses, linededup, mixing, neardup, quality, toxicity
+from gleaner.llm import decontam, fingerprints, languages, licenses, linededup, mixing, neardup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_dart_minhash": neardup.op3_dart_minhash,
         "op4_pareto_mix": mixing.op4_pareto_mix,
         "op5_zstd_language": languages.op5_zstd_language,
+        "op6_bm25_wand": decontam.op6_bm25_wand,
         "op7_segment_toxicity": toxicity.op7_segment_toxicity,
         "op8_license_windows": licenses.op8_license_windows,
         "op9_order_minhash": fingerprints.op9_order_minhash,
