@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path, in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner")
+    return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % mod

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, fingerprints, languages, licenses, linededup, mixing, neardup, quality, toxicity
+from gleaner.llm import decontam, fingerprints, languages, licenses, linededup, mixing, neardup, quality, tokenids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_quality": quality.op1_knn_quality,
+        "op2_range_coded_ids": tokenids.op2_range_coded_ids,
         "op3_dart_minhash": neardup.op3_dart_minhash,
         "op4_pareto_mix": mixing.op4_pareto_mix,
         "op5_zstd_language": languages.op5_zstd_language,
