@@ -5,20 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gleaner.sources.tables import read_table
-
-Query = Callable[[SparkSession, str], DataFrame]
+from gleaner.plans import catalog
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return catalog.flagship_prf_slices(spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
