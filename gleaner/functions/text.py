@@ -57,7 +57,7 @@ def fingerprint(abstract: Column) -> Column:
 def shingles(toks: Column, k: int = 5) -> Column:
     """The set of runs of ``k`` tokens; a shorter text is one run, an empty one none."""
     n = F.size(toks)
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(toks, i + 1, k), " "))
+    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", *(F.get(toks, i + j) for j in range(k))))
     return F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
 
 

@@ -44,7 +44,8 @@ def near_pairs(df: DataFrame, shingle_col: str, block: str, id_col: str = "sampl
     Exact, by prefix filtering: with the shingles of each set ordered from the rarest, two similar sets share one of the
     first n - ceil(threshold * n) + 1. Frequent shingles so hardly ever meet in the join, and no set is capped.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.transform(F.col(shingle_col), lambda s: F.xxhash64(s)).alias("hs")).withColumn("hs", F.array_distinct("hs")).withColumn("n", F.size("hs")).where("n > 0")
+    sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_distinct(F.transform(F.col(shingle_col), lambda s: F.xxhash64(s))).alias("hs"))
+    sets = checkpointed(sets).withColumn("n", F.size("hs")).where("n > 0")
     rows = sets.select("id", "block", "n", F.explode("hs").alias("h"))
     frequent = rows.groupBy("block", "h").agg(F.count("*").alias("times"))
     order = Window.partitionBy("id").orderBy("times", "h")

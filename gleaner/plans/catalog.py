@@ -47,14 +47,14 @@ decided AS (
 normed AS (SELECT doc_id, language, family, split, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS norm FROM docs),
 tokened AS (SELECT *, regexp_extract_all(norm, '{TOKEN_SQL}') AS toks FROM normed),
 abstracts AS (
-  SELECT *, list_transform(toks, t -> CASE WHEN regexp_matches(t, '^[\pL_$]') AND lower(t) NOT IN ({KEYWORDS_SQL}) THEN 'ID' WHEN regexp_matches(t, '^\d') THEN 'NUM' ELSE t END) AS abs FROM tokened
+  SELECT *, list_transform(toks, lambda t: CASE WHEN regexp_matches(t, '^[\pL_$]') AND lower(t) NOT IN ({KEYWORDS_SQL}) THEN 'ID' WHEN regexp_matches(t, '^\d') THEN 'NUM' ELSE t END) AS abs FROM tokened
 ), shingled AS (
-  SELECT doc_id, language, unnest(list_distinct(CASE WHEN len(toks) >= 5 THEN list_transform(range(1, len(toks) - 3), i -> array_to_string(toks[i:i+4], ' ')) ELSE [] END)) AS s FROM tokened WHERE len(toks) >= 40
+  SELECT doc_id, language, unnest(list_distinct(CASE WHEN len(toks) >= 5 THEN list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i+4], ' ')) ELSE [] END)) AS s FROM tokened WHERE len(toks) >= 40
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
 near AS (
-  SELECT a, b, both / (x.n + y.n - both)::DOUBLE AS similarity
-  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both FROM shingled p JOIN shingled q ON p.s = q.s AND p.language = q.language AND p.doc_id < q.doc_id GROUP BY 1, 2)
-  JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE both / (x.n + y.n - both)::DOUBLE >= 0.8
+  SELECT a, b, shared / (x.n + y.n - shared)::DOUBLE AS similarity
+  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM shingled p JOIN shingled q ON p.s = q.s AND p.language = q.language AND p.doc_id < q.doc_id GROUP BY 1, 2)
+  JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared / (x.n + y.n - shared)::DOUBLE >= 0.8
 ), hashed AS (SELECT doc_id, family, split, sha256(norm) AS hash FROM normed),
 cells AS (
   SELECT language, aspect, count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
@@ -101,8 +101,8 @@ def tokened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokened(spark, d).where(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS)
-    return dedupe.near_pairs(rows.withColumn("sh", text.shingles(F.col("toks"))), "sh", "language", "doc_id")
+    rows = tokened(spark, d).withColumn("sh", F.when(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS, text.shingles(F.col("toks"))).otherwise(F.array().cast("array<string>")))
+    return dedupe.near_pairs(rows, "sh", "language", "doc_id")
 
 
 def hashed(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +133,7 @@ def token_counts(spark, d):
     return tokened(spark, d).select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.size(F.array_distinct("toks")).cast("long").alias("n_distinct"))
 
 
-@query("SELECT doc_id, len(list_filter(abs, t -> t = 'ID')) AS n_ids, len(list_filter(abs, t -> t = 'NUM')) AS n_nums, sha256(array_to_string(abs, ' ')) AS abstract_hash FROM abstracts")
+@query("SELECT doc_id, len(list_filter(abs, lambda t: t = 'ID')) AS n_ids, len(list_filter(abs, lambda t: t = 'NUM')) AS n_nums, sha256(array_to_string(abs, ' ')) AS abstract_hash FROM abstracts")
 def abstract_tokens(spark, d):
     rows = tokened(spark, d).withColumn("abs", text.abstracted(F.col("toks")))
     count = lambda v: F.size(F.filter("abs", lambda t: t == v)).cast("long")
@@ -212,7 +212,7 @@ def cross_split_pairs(spark, d):
     return rounded(dedupe.crossing_pairs(near(spark, d), docs(spark, d), "doc_id"), "similarity", digits=6).select("a", "b", "similarity", "split_a", "split_b")
 
 
-@query(r", items AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i+4], ' ')))) AS s FROM (SELECT item_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '" + TOKEN_SQL + r"') AS t FROM benchmark)), item_sizes AS (SELECT item_id, count(*) AS m FROM items GROUP BY 1) SELECT doc_id, item_id, round(count(*) / any_value(m)::DOUBLE, 6) AS containment FROM shingled JOIN items USING (s) JOIN item_sizes USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(m)::DOUBLE >= 0.5")
+@query(r", items AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS s FROM (SELECT item_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '" + TOKEN_SQL + r"') AS t FROM benchmark)), item_sizes AS (SELECT item_id, count(*) AS m FROM items GROUP BY 1) SELECT doc_id, item_id, round(count(*) / any_value(m)::DOUBLE, 6) AS containment FROM shingled JOIN items USING (s) JOIN item_sizes USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(m)::DOUBLE >= 0.5")
 def benchmark_overlap(spark, d):
     own = tokened(spark, d).where(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS).select("doc_id", F.explode(text.shingles(F.col("toks"))).alias("s"))
     toks = text.tokens(text.collapse(F.col("text")))
@@ -285,7 +285,7 @@ def brier_score(spark, d):
     return rounded(evaluate.brier(scored(spark, d), ["aspect"]), "brier")
 
 
-@query("SELECT b AS bin, count(decision_id) AS n, round(avg(p_true), 8) AS mean_p, round(avg(label), 8) AS frac_pos FROM (SELECT unnest(range(10)) AS b) LEFT JOIN (SELECT *, least(9, (p_true >= 0.1::DOUBLE)::INT + (p_true >= 0.2::DOUBLE)::INT + (p_true >= 0.30000000000000004::DOUBLE)::INT + (p_true >= 0.4::DOUBLE)::INT + (p_true >= 0.5::DOUBLE)::INT + (p_true >= 0.6000000000000001::DOUBLE)::INT + (p_true >= 0.7000000000000001::DOUBLE)::INT + (p_true >= 0.8::DOUBLE)::INT + (p_true >= 0.9::DOUBLE)::INT) AS at FROM scored) ON at = b GROUP BY 1")
+@query("SELECT b AS bin, count(decision_id) AS n, round(avg(p_true), 8) AS mean_p, round(avg(label), 8) AS frac_pos FROM (SELECT unnest(range(10)) AS b) LEFT JOIN (SELECT *, least(9, (p_true >= 0.1::DOUBLE)::INT + (p_true >= 0.2::DOUBLE)::INT + (p_true >= 0.30000000000000004::DOUBLE)::INT + (p_true >= 0.4::DOUBLE)::INT + (p_true >= 0.5::DOUBLE)::INT + (p_true >= 0.6000000000000001::DOUBLE)::INT + (p_true >= 0.7000000000000001::DOUBLE)::INT + (p_true >= 0.8::DOUBLE)::INT + (p_true >= 0.9::DOUBLE)::INT) AS cell FROM scored) ON cell = b GROUP BY 1")
 def calibration_bins(spark, d):
     return rounded(evaluate.calibration(scored(spark, d)), "mean_p", "frac_pos")
 
