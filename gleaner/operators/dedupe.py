@@ -59,8 +59,7 @@ def near_pairs(df: DataFrame, shingle_col: str, block: str, id_col: str = "sampl
     return held.select("a", "b", (both / (F.size("ha") + F.size("hb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-@F.pandas_udf("array<long>")
-def minhash(shingles: pd.Series) -> pd.Series:
+def _minhash(shingles: pd.Series) -> pd.Series:
     """64 minima of (a h + b) mod 2^61 - 1 over 64-bit BLAKE2b hashes, with fixed a and b for each."""
     prime = (1 << 61) - 1
     a = [6364136223846793005 * (i + 1) & prime for i in range(64)]
@@ -73,6 +72,11 @@ def minhash(shingles: pd.Series) -> pd.Series:
     return shingles.map(one)
 
 
+def minhash(shingles: Column | str) -> Column:
+    """Signature of 64 longs of an array of shingles."""
+    return F.pandas_udf(_minhash, "array<long>")(shingles)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of (a, b), by alternating large and small stars."""
     edges, seen = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
