@@ -210,12 +210,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         named = beside.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         heads = named.where("node = centre").select("key", F.col("label").alias("head"))
         named = named.join(heads, "key", "left").withColumn("covered", F.col("covered") | F.coalesce(F.col("label") == F.col("head"), F.lit(False)))
-        parts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 AND size > 2")
-        named = checkpointed(named.join(parts.select("key", "size"), "key").select("key", "node", "c", "covered", "label", "size"))
-        left = named.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("pairs"), F.count(F.when(~F.col("covered"), 1)).alias("open")).first()
+        size, cross = F.sum("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+        parts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), size.alias("size"), cross.alias("cross")).where("parts > 1 AND size > 2")
+        parts = checkpointed(parts.select("key", "size", "cross"))
+        left = parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("pairs")).first()
         if not left["rows"]:
             break
-        if turn == ROUNDS - 1 or not left["open"] or left["pairs"] <= 8 * left["rows"]:  # the rest, pair by pair
+        named = checkpointed(named.join(parts.select("key"), "key", "left_semi").select("key", "node", "c", "covered", "label"))
+        if turn == ROUNDS - 1 or left["pairs"] <= 8 * left["rows"]:  # the rest, pair by pair
             other = named.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
             compare(named.join(other, "key").where("node < b AND label <> other").select(F.col("node").alias("a"), "b"))
             break
