@@ -8,9 +8,9 @@ look further. Two texts agree in a coordinate with the probability of their weig
 
 Signatures are cut into ``BANDS`` bands of ``ROWS``: a pair of similarity 0.8 shares a band with probability 0.9999.
 Texts of equal words are collapsed to one representative before. In each band's bucket, all are compared with one centre,
-the representative that lies in the largest buckets, by exact weighted Jaccard similarity of the whole texts; that
-is repeated with other centres while a bucket holds parts that aren't linked, and after ``ROUNDS`` rounds whatever
-pairs of unlinked members remain are compared one by one. So no bucket is capped, and one whose members are alike costs as
+the representative that lies in the largest buckets, by exact weighted Jaccard similarity of the whole texts; while buckets hold
+many pairs that aren't linked, what isn't linked to it is compared with other centres, drawn by hashes for each bucket, and
+then, after ``ROUNDS`` rounds at most, all pairs of unlinked members that remain are compared one by one. So no bucket is capped, and one whose members are alike costs as
 many comparisons as it has members. Connected components of the verified links are the classes.
 
 Edge cases: texts of fewer than five words are one shingle; texts without a word (null, empty) are alone, each its own
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(rows.join(shared, "key").distinct())
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = checkpointed(members.join(central, "node").select("key", "node", "c", F.lit(False).alias("covered")))
+    members = checkpointed(members.join(central, "node").select("key", "node", "c", F.col("node").alias("label")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     texts = checkpointed(texts.join(central.select(F.col("node").alias("id")), "id", "left_semi"))
 
@@ -204,24 +204,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         labels = checkpointed(components(links))
 
     for turn in range(ROUNDS):
-        centre = members.where(~F.col("covered")).groupBy("key").agg(F.max_by("node", F.struct("c", -F.col("node"))).alias("centre"))
-        beside = members.join(centre, "key", "left")
-        compare(beside.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        named = beside.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        heads = named.where("node = centre").select("key", F.col("label").alias("head"))
-        named = named.join(heads, "key", "left").withColumn("covered", F.col("covered") | F.coalesce(F.col("label") == F.col("head"), F.lit(False)))
+        rank = F.struct("c", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("key", "node", F.lit(turn)), "node")
+        centre = members.groupBy("key").agg(F.max_by(F.struct("node", "label"), rank).alias("centre"))
+        beside = members.join(centre, "key").where("label <> centre.label")
+        compare(beside.select(F.col("centre.node").alias("a"), F.col("node").alias("b")))
+        named = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         size, cross = F.sum("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
         parts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), size.alias("size"), cross.alias("cross")).where("parts > 1 AND size > 2")
         parts = checkpointed(parts.select("key", "size", "cross"))
         left = parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("pairs")).first()
         if not left["rows"]:
             break
-        named = checkpointed(named.join(parts.select("key"), "key", "left_semi").select("key", "node", "c", "covered", "label"))
+        named = checkpointed(named.join(parts.select("key"), "key", "left_semi").select("key", "node", "c", "label"))
         if turn == ROUNDS - 1 or left["pairs"] <= 8 * left["rows"]:  # the rest, pair by pair
             other = named.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
             compare(named.join(other, "key").where("node < b AND label <> other").select(F.col("node").alias("a"), "b"))
             break
-        members = named.select("key", "node", "c", "covered")
+        members = named
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = texts_of.select("words", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
     named = named.select("words", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
