@@ -48,10 +48,10 @@ normed AS (SELECT doc_id, language, family, split, trim(regexp_replace(coalesce(
 tokened AS (SELECT *, regexp_extract_all(norm, '{TOKEN_SQL}') AS toks FROM normed),
 abstracts AS (
   SELECT *, list_transform(toks, lambda t: CASE WHEN regexp_matches(t, '^[\pL_$]') AND lower(t) NOT IN ({KEYWORDS_SQL}) THEN 'ID' WHEN regexp_matches(t, '^\d') THEN 'NUM' ELSE t END) AS abs FROM tokened
-), shingled AS (
+), shingled AS MATERIALIZED (
   SELECT doc_id, language, unnest(list_distinct(CASE WHEN len(toks) >= 5 THEN list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i+4], ' ')) ELSE [] END)) AS s FROM tokened WHERE len(toks) >= 40
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
-near AS (
+near AS MATERIALIZED (
   SELECT a, b, shared / (x.n + y.n - shared)::DOUBLE AS similarity
   FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM shingled p JOIN shingled q ON p.s = q.s AND p.language = q.language AND p.doc_id < q.doc_id GROUP BY 1, 2)
   JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared / (x.n + y.n - shared)::DOUBLE >= 0.8
