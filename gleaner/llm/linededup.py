@@ -1,9 +1,11 @@
 """Operator 10: removal of repeated passages by content-defined chunks of lines.
 
 A rolling hash over the hashes of two adjacent lines decides where chunks end, so that a shift of lines moves boundaries
-with it; chunks hold four lines on the average. Where a repeated passage begins or ends inside a chunk, windows of two lines
-and single lines of at least ``long_line`` words catch what the chunks miss. A chunk or window of several lines counts from
-``least_words`` words on. Keys that occur more than once anywhere are candidates; neighbouring candidates with the same
+with it; chunks hold four lines on the average. Where a repeated passage begins or ends inside a chunk, runs of lines and
+single lines of at least ``long_line`` words catch what the chunks miss: from each line with words, forwards and backwards,
+the shortest run that has ``least_words`` words and two lines with words, and windows of two lines with as many. So a passage
+of several lines with words and twice ``least_words`` words in all is covered by runs inside it, however short its lines are.
+A chunk of several lines counts from ``least_words`` words on, too. Keys that occur more than once anywhere are candidates; neighbouring candidates with the same
 source are merged into spans, each span is compared byte by byte with its first occurrence (smallest id, then line), and
 the spans that are equal are removed. So of every removed line an equal one stays at a smaller place.
 
@@ -14,7 +16,9 @@ columns pass through, those named as outputs are replaced. No count, text or num
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,14 @@ def _mixed(x: int) -> int:
 
 
 def pieces(text: str, least_words: int, long_line: int) -> list[tuple[int, int, int]]:
-    """(key, first line, lines) of the chunks, two-line windows and long lines of a text."""
+    """(key, first line, lines) of the chunks, runs, two-line windows and long lines of a text."""
     lines = text.split("\n")
     hashes = [hash64(x) for x in lines]
     words = [len(WORD.findall(x)) for x in lines]
     found = {}
 
     def take(start: int, end: int) -> None:
-        if sum(words[start:end]) >= (least_words if end - start > 1 else long_line):
+        if (start, end) not in found and sum(words[start:end]) >= (least_words if end - start > 1 else long_line):
             key = end - start
             for h in hashes[start:end]:
                 key = _mixed((key * 0x9E3779B97F4A7C15 + h) & M64)
@@ -56,6 +60,15 @@ def pieces(text: str, least_words: int, long_line: int) -> list[tuple[int, int,
         take(i, i + 1)
         if i:
             take(i - 1, i + 1)
+    worded = [i for i, n in enumerate(words) if n]
+    upto = [0, *accumulate(words[i] for i in worded)]
+    for k in range(len(worded)):  # the end of the run from line k on, and the start of the run up to it
+        end = max(bisect_left(upto, upto[k] + least_words), k + 2)
+        if end <= len(worded):
+            take(worded[k], worded[end - 1] + 1)
+        first = min(bisect_right(upto, upto[k + 1] - least_words) - 1, k - 1)
+        if first >= 0:
+            take(worded[first], worded[k] + 1)
     return [(k - (1 << 64) if k >> 63 else k, a, b - a) for (a, b), k in found.items()]
 
 

@@ -245,3 +245,20 @@ def test_line_dedup(spark, edges, empty):
         assert rows[i].clean_text == "\n".join(want)
     back = {(r.doc_id, r.clean_text) for r in linededup.remove_repeated(edges).collect()}
     assert back == {(i, t) for i, t, _ in EDGES} and linededup.remove_repeated(empty).count() == 0
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    docs, want = [], {}
+    for k in range(40):
+        sizes = [3 + k % 7] * (51 // (3 + k % 7) + 1) if k < 28 else rng.choices(range(1, 30), k=10) + [25]
+        passage = [x for n in sizes for x in ([line(n), "", ""] if k % 3 == 0 else [line(n)])]
+        while not passage[-1]:
+            passage.pop()
+        for i in (2 * k, 2 * k + 1):
+            before, after = [line(9) for _ in range(rng.randrange(4))], [line(9) for _ in range(rng.randrange(4))]
+            docs.append((i, "\n".join(before + passage + after)))
+            want[i] = docs[-1][1] if i == 2 * k else "\n".join(before + after)
+    rows = linededup.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.clean_text for r in rows} == want
