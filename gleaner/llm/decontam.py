@@ -4,7 +4,9 @@ The items are indexed with impacts that are BM25 contributions over the item's s
 serves all items. Every passage of a document, ``WINDOW`` words at each ``STRIDE`` words, is a query. Terms of few items are
 the essential ones: a passage is passed over if there is no item for which its essential terms in the passage, with all of
 the item's other terms, reach the threshold, a bound that loses nothing. For the others block-max WAND retrieves all
-items above the threshold. A hit is verified on the words about the passage: both the item's question
+items above the threshold. An item longer than ``PIECE`` words is indexed as a whole and in pieces of ``PIECE`` words at each
+``STRIDE`` words, each with impacts over its own score, so that whatever the item's length a passage can hold a piece whole.
+A hit is verified on the words about the passage, always for the whole item: both the item's question
 (all but its last sentence, or the first two thirds of a single sentence) and its answer (the rest) must have ``overlap`` of
 their distinct word pairs there.
 
@@ -33,12 +35,13 @@ from gleaner.llm.common import batches, map_arrow, words_of
 from gleaner.sources.tables import read_table
 
 WINDOW, STRIDE, BLOCK, MOST_BYTES = 96, 32, 32, 32 << 20
+PIECE = WINDOW - STRIDE  # a run of so many words lies within one passage, wherever it begins
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 @dataclass
 class Postings:
-    items: list[int]
+    items: list[int]  # rows of the index: whole items and pieces
     impacts: list[float]
     block_max: list[float]
     most: float
@@ -49,15 +52,16 @@ class Index:
     ids: list[int]
     lengths: list[int]
     pairs: list[tuple[set, set]]
+    owner: list[int]  # for each row of the index, the place of its item in the lists above
     terms: dict[str, Postings]
     essential: dict[str, int]  # term -> row of the arrays below
     starts: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
-    rest: np.ndarray  # for each item, what its other terms add at most
+    rest: np.ndarray  # for each row of the index, what its other terms add at most
 
     def passages(self, words: list[str], threshold: float) -> list[int]:
-        """First words of the passages that may reach the threshold for some item."""
+        """First words of the passages that may reach the threshold for some item or piece."""
         rows = np.fromiter(map(self.essential.__getitem__, words), np.int64, len(words))
         at = np.flatnonzero(rows >= 0)
         if not len(at):
@@ -97,40 +101,48 @@ def _parts(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def _pieces(words: list[str]) -> list[list[str]]:
+    """What is indexed of an item: all of it and, if it is long, pieces of it."""
+    if len(words) <= PIECE:
+        return [words]
+    return [words, *(words[i : i + PIECE] for i in range(0, len(words) - PIECE, STRIDE)), words[-PIECE:]]
+
+
 def build_index(items: list[tuple[int, str]], threshold: float = 0.6, k1: float = 1.2, b: float = 0.75) -> Index:
-    counts = [(i, Counter(words_of(t)), t) for i, t in items]
-    counts = [x for x in counts if x[1]]
-    df = Counter(w for _, c, _ in counts for w in c)
-    mean = sum(sum(c.values()) for _, c, _ in counts) / max(len(counts), 1)
-    index, lists = Index([], [], [], {}, _Rows(), *[np.zeros(0)] * 4), {}
-    for at, (item, c, text) in enumerate(counts):
-        length = sum(c.values())
-        impacts = {w: math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / mean)) for w, n in c.items()}
-        whole = sum(impacts.values())
-        for w, x in impacts.items():
-            lists.setdefault(w, []).append((at, x / whole))
+    held = [(i, words, t) for i, t in items if (words := words_of(t))]
+    df = Counter(w for _, words, _ in held for w in set(words))
+    mean = sum(len(words) for _, words, _ in held) / max(len(held), 1)
+    index, lists = Index([], [], [], [], {}, _Rows(), *[np.zeros(0)] * 4), {}
+    for item, words, text in held:
+        for piece in _pieces(words):
+            length = len(piece)
+            impacts = {w: math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / mean)) for w, n in Counter(piece).items()}
+            whole = sum(impacts.values())
+            for w, x in impacts.items():
+                lists.setdefault(w, []).append((len(index.owner), x / whole))
+            index.owner.append(len(index.ids))
         question, answer = _parts(text)
-        index.ids.append(item), index.lengths.append(length), index.pairs.append((_pairs(question), _pairs(answer)))
+        index.ids.append(item), index.lengths.append(len(words)), index.pairs.append((_pairs(question), _pairs(answer)))
     for w, rows in lists.items():
         xs = [x for _, x in rows]
         index.terms[w] = Postings([i for i, _ in rows], xs, [max(xs[j : j + BLOCK]) for j in range(0, len(xs), BLOCK)], max(xs))
-    few = {w for w in lists if len(lists[w]) <= max(2, len(counts) // 20)}
-    rest = np.ones(len(counts))
+    few = {w for w in lists if df[w] <= max(2, len(held) // 20)}
+    rest = np.ones(len(index.owner))
     for w in few:
         for i, x in lists[w]:
             rest[i] -= x
     hard = rest >= threshold - 0.1  # for items of common words, all terms are essential
-    held = {w: rows for w in sorted(lists) if (rows := [r for r in lists[w] if w in few or hard[r[0]]])}
-    index.essential.update((w, i) for i, w in enumerate(held))
-    index.starts = np.concatenate([[0], np.cumsum([len(r) for r in held.values()])]).astype(np.int64)
-    index.items = np.array([i for r in held.values() for i, _ in r], np.int64)
-    index.impacts = np.array([x for r in held.values() for _, x in r], np.float64)
+    kept = {w: rows for w in sorted(lists) if (rows := [r for r in lists[w] if w in few or hard[r[0]]])}
+    index.essential.update((w, i) for i, w in enumerate(kept))
+    index.starts = np.concatenate([[0], np.cumsum([len(r) for r in kept.values()])]).astype(np.int64)
+    index.items = np.array([i for r in kept.values() for i, _ in r], np.int64)
+    index.impacts = np.array([x for r in kept.values() for _, x in r], np.float64)
     index.rest = np.where(hard, 0.0, rest)
     return index
 
 
 def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, float]]:
-    """All items whose summed impacts reach the threshold, with the sums, in order."""
+    """All rows of the index whose summed impacts reach the threshold, with the sums, in order."""
     out, heads = [], [[p.items[0], 0, p] for p in lists]  # current item, place, list
     heads.sort(key=lambda h: h[0])
     slack = threshold - 1e-9
@@ -183,29 +195,39 @@ def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, f
 
 def hits(words: list[str], index: Index, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(item, word, score, question overlap, answer overlap) of each item that a text holds, at its best passage."""
-    found: dict[int, tuple] = {}
+    passed: dict[int, list[tuple[float, int]]] = {}
     for start in index.passages(words, threshold):
         terms = {w for w in words[start : start + WINDOW] if w in index.terms}
         if sum(index.terms[w].most for w in terms) < threshold - 1e-9:
             continue
-        for at, score in block_max_wand([index.terms[w] for w in sorted(terms)], threshold):
-            n = index.lengths[at]
-            there = words[max(start - n, 0) : start + WINDOW + n]
+        for row, score in block_max_wand([index.terms[w] for w in sorted(terms)], threshold):
+            passed.setdefault(index.owner[row], []).append((-score, start))
+    found = []
+    for at in sorted(passed):
+        n, failed = index.lengths[at], set()
+        for score, start in sorted(passed[at]):
+            span = max(start - n, 0), min(start + WINDOW + n, len(words))
+            if span in failed:
+                continue
+            there = words[slice(*span)]
             near = _pairs(there) | set(there)
             question, answer = (len(p & near) / len(p) if p else 1.0 for p in index.pairs[at])
-            if question >= overlap and answer >= overlap and (at not in found or found[at][2] < score):
-                found[at] = (index.ids[at], start, score, question, answer)
-    return [found[at] for at in sorted(found)]
+            if question >= overlap and answer >= overlap:
+                found.append((index.ids[at], start, -score, question, answer))
+                break
+            failed.add(span)
+    return found
 
 
 def _shards(items: DataFrame, shard: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     part, used = [], 0
     for r in items.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
-        if part and (len(part) == shard or used + len(r[1]) > MOST_BYTES):
+        size = len(r[1]) * (3 if len(words_of(r[1])) > PIECE else 1)  # pieces overlap by half
+        if part and (len(part) == shard or used + size > MOST_BYTES):
             yield part
             part, used = [], 0
         part.append((r[0], r[1]))
-        used += len(r[1])
+        used += size
     yield part
 
 

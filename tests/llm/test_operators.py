@@ -262,3 +262,18 @@ def test_line_dedup_of_short_lines(spark):
             want[i] = docs[-1][1] if i == 2 * k else "\n".join(before + after)
     rows = linededup.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.clean_text for r in rows} == want
+
+
+def test_leaks_of_long_items():
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"v{rng.randrange(50000)}" for _ in range(n))
+    items = [(n, f"{prose(n - 10)}. {prose(10)}.") for n in (15, 59, 64, 65, 97, 161, 300, 1000)]
+    index = decontam.build_index(items)
+    for n, text in items:
+        words = decontam.words_of(text)
+        assert len(words) == n
+        for before in (0, 7, 31, 150):
+            assert [h[0] for h in decontam.hits(prose(before).split() + words + prose(40).split(), index, 0.6, 0.6)] == [n]
+        if n > 64:
+            assert not decontam.hits(prose(50).split() + words[: n // 3] + prose(50).split(), index, 0.6, 0.6)
+    assert len(index.owner) > len(index.ids) and decontam.build_index(items[:3]).owner == [0, 1, 2]
