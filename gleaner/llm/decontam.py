@@ -11,7 +11,7 @@ A hit is verified on the words about the passage, always for the whole item: bot
 their distinct word pairs there.
 
 The index is broadcast; it holds at most ``shard`` items and ``MOST_BYTES`` of text. More items are cut into several
-indexes, and the documents are read once for each, with the statistics of each index its own.
+indexes, and the documents are read once for each; number, mean length and document frequencies are those of all items.
 
 Edge cases: null, empty and wordless texts and items have no hits; a text shorter than a window is one passage; repeated
 items each have their hits, repeated rows get equal results; ties in WAND go by item; without items nothing is hit;
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,13 @@ class Index:
         return (np.unique(keys[bound >= threshold - 1e-9] // len(self.rest)) * STRIDE).tolist()
 
 
+@dataclass
+class Statistics:
+    n: int
+    mean: float
+    df: dict[str, int]  # a word that isn't in it is in one item
+
+
 class _Rows(dict):
     def __missing__(self, word: str) -> int:
         return -1
@@ -108,15 +116,16 @@ def _pieces(words: list[str]) -> list[list[str]]:
     return [words, *(words[i : i + PIECE] for i in range(0, len(words) - PIECE, STRIDE)), words[-PIECE:]]
 
 
-def build_index(items: list[tuple[int, str]], threshold: float = 0.6, k1: float = 1.2, b: float = 0.75) -> Index:
+def build_index(items: list[tuple[int, str]], threshold: float = 0.6, k1: float = 1.2, b: float = 0.75, known: Statistics | None = None) -> Index:
+    """The index of ``items``, with the statistics of all items if ``known`` has them, or else of these."""
     held = [(i, words, t) for i, t in items if (words := words_of(t))]
-    df = Counter(w for _, words, _ in held for w in set(words))
-    mean = sum(len(words) for _, words, _ in held) / max(len(held), 1)
+    known = known or Statistics(len(held), sum(len(words) for _, words, _ in held) / max(len(held), 1), Counter(w for _, words, _ in held for w in set(words)))
+    df = {w: known.df.get(w, 1) for _, words, _ in held for w in words}
     index, lists = Index([], [], [], [], {}, _Rows(), *[np.zeros(0)] * 4), {}
     for item, words, text in held:
         for piece in _pieces(words):
             length = len(piece)
-            impacts = {w: math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / mean)) for w, n in Counter(piece).items()}
+            impacts = {w: math.log(1 + (known.n - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / known.mean)) for w, n in Counter(piece).items()}
             whole = sum(impacts.values())
             for w, x in impacts.items():
                 lists.setdefault(w, []).append((len(index.owner), x / whole))
@@ -126,7 +135,7 @@ def build_index(items: list[tuple[int, str]], threshold: float = 0.6, k1: float
     for w, rows in lists.items():
         xs = [x for _, x in rows]
         index.terms[w] = Postings([i for i, _ in rows], xs, [max(xs[j : j + BLOCK]) for j in range(0, len(xs), BLOCK)], max(xs))
-    few = {w for w in lists if df[w] <= max(2, len(held) // 20)}
+    few = {w for w in lists if df[w] <= max(2, known.n // 20)}
     rest = np.ones(len(index.owner))
     for w in few:
         for i, x in lists[w]:
@@ -231,11 +240,31 @@ def _shards(items: DataFrame, shard: int, id_col: str, text_col: str) -> Iterato
     yield part
 
 
+def statistics(items: DataFrame, text_col: str) -> Statistics:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(it, "text"):
+            held = [words for t in texts if (words := words_of(t))]
+            df = Counter(w for words in held for w in set(words))
+            counts = [(None, len(held), sum(map(len, held))), *((w, n, 0) for w, n in df.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*counts, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "n", "length"])
+
+    rows = map_arrow(items.select(F.col(text_col).alias("text")), run, "word string, n long, length long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    out = Statistics(0, 0.0, {})
+    for r in rows.where("word IS NULL OR n > 1").toLocalIterator():
+        if r.word is None:
+            out.n, out.mean = r.n, r.length / max(r.n, 1)
+        else:
+            out.df[r.word] = r.n
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item, word, score, question, answer), one row for each item that a document holds."""
-    out = None
-    for part in _shards(items, shard, item_col, text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(part, threshold))
+    out, shards = None, _shards(items, shard, item_col, text_col)
+    first, more = next(shards), list(islice(shards, 1))
+    known = statistics(items, text_col) if more else None
+    for part in chain([first], more, shards):
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(part, threshold, known=known))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

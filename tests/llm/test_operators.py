@@ -277,3 +277,17 @@ def test_leaks_of_long_items():
         if n > 64:
             assert not decontam.hits(prose(50).split() + words[: n // 3] + prose(50).split(), index, 0.6, 0.6)
     assert len(index.owner) > len(index.ids) and decontam.build_index(items[:3]).owner == [0, 1, 2]
+
+
+def test_leaks_do_not_depend_on_shards(spark):
+    rng = random.Random(13)
+    topic = [f"t{i}" for i in range(12)]
+    words = lambda n: [rng.choice(topic) if rng.random() < 0.5 else f"v{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, f"{' '.join(words(14))}. {' '.join(words(8))}.") for i in range(30)] + [(30 + i, " ".join(f"o{rng.randrange(300)}" for _ in range(20))) for i in range(60)]
+    docs = []
+    for i, text in items * 4:
+        held = [w if rng.random() < 0.75 else "other" for w in decontam.words_of(text)]
+        docs.append((len(docs), " ".join(["x"] * 50 + held + ["y"] * 50)))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [{(r.id, r.item, r.word, round(r.score, 9)) for r in decontam.find_leaks(docs, items, overlap=0.4, shard=n).collect()} for n in (1000, 45, 30)]
+    assert found[0] and found[0] == found[1] == found[2]
