@@ -1,7 +1,8 @@
 """Operator 5: language identification by compression.
 
-For each language, text of at most ``per_language`` documents, at most ``per_text`` characters of each, becomes a raw-content
-dictionary for zstandard of at most ``dictionary`` bytes; of all texts only the letters count, in lower case. A document is compressed with each dictionary, in chunks of
+For each language, text of at most ``per_language`` documents becomes a raw-content dictionary for zstandard of at most
+``dictionary`` bytes, which all these documents share evenly. Of each the driver gets at most ``per_text`` characters, in
+``PIECES`` pieces spread over the whole text; of all texts only the letters count, in lower case. A document is compressed with each dictionary, in chunks of
 ``CHUNK`` bytes so that a long text cannot outgrow the dictionaries, and the language that gives the fewest bytes wins. Where
 the margin over the second is under ``margin`` of the best size, the operator rejects: its ``lang`` is ``und``, though
 ``lang_best`` still names the best guess.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import batches, extended, fold, map_arrow
 from gleaner.sources.tables import read_table
 
-CHUNK = 8 << 10
+CHUNK, PIECES = 8 << 10, 4
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -35,17 +36,34 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def _fill(texts: list[bytes], most: int) -> bytes:
+    """At most ``most`` bytes, of every text an even share in pieces spread over it; what short texts leave goes to the others."""
+    out, left = {}, most
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share = left // (len(texts) - done) - 1  # and a space
+        text = texts[i]
+        if len(text) > share:
+            n = max((share + 1) // PIECES - 1, 0)
+            text = b" ".join(text[(len(text) - n) * k // (PIECES - 1) :][:n] for k in range(PIECES))
+        out[i] = text
+        left -= len(text) + 1
+    return b" ".join(out[i] for i in range(len(texts)))[:most]
+
+
 def learn_languages(docs: DataFrame, learn, per_language: int = 300, per_text: int = 1200, dictionary: int = 112 << 10, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Dictionaries by language; the driver gets at most ``per_language`` times ``per_text`` characters of each."""
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     w = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language).drop("_n")
-    texts = known.join(ids, (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"])).select("_lang", F.xxhash64("_id").alias("h"), F.substring(text_col, 1, per_text).alias("t"))
+    size, piece = F.length(text_col), per_text // PIECES
+    starts = [F.floor((size - piece) * k / (PIECES - 1)).cast("int") + 1 for k in range(PIECES)]
+    spread = F.when(size <= per_text, F.col(text_col)).otherwise(F.concat_ws(" ", *[F.substring(F.col(text_col), at, F.lit(piece)) for at in starts]))
+    texts = known.join(ids, (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"])).select("_lang", F.xxhash64("_id").alias("h"), spread.alias("t"))
     by: dict[str, list] = {}
     for r in texts.collect():
         by.setdefault(r._lang, []).append((r.h, r.t))
     frequent = [r[lang_col] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).collect()]
-    return {lang: b" ".join(letters(t) for _, t in sorted(by[lang]))[-dictionary:] for lang in frequent if lang in by}
+    return {lang: _fill([letters(t) for _, t in sorted(by[lang])], dictionary) for lang in frequent if lang in by}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, level: int = 3, text_col: str = "text") -> DataFrame:

@@ -291,3 +291,14 @@ def test_leaks_do_not_depend_on_shards(spark):
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = [{(r.id, r.item, r.word, round(r.score, 9)) for r in decontam.find_leaks(docs, items, overlap=0.4, shard=n).collect()} for n in (1000, 45, 30)]
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_dictionaries_hold_whole_sample(spark):
+    rng = random.Random(14)
+    header = " ".join("common" for _ in range(400))
+    rows = [(i, f"{header} {' '.join(f'{chr(97 + i % 26)}{chr(97 + i // 26)}tail' for _ in range(600))}", "xx") for i in range(200)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = languages.learn_languages(docs, F.lit(True))["xx"]
+    assert len(held) <= 112 << 10 and all(f"{chr(97 + i % 26)}{chr(97 + i // 26)}tail".encode() in held for i in range(200))
+    assert languages._fill([b"ab", b"c" * 50, b""], 1000) == b"ab " + b"c" * 50 + b" "
