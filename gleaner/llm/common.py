@@ -21,18 +21,50 @@ CACHE = 200_000
 M64 = (1 << 64) - 1
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A session of one machine, as in tests, gets a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.sparkContext.__dict__.setdefault("_gleaner_folder", None) or tempfile.mkdtemp(prefix="gleaner")
+        spark.sparkContext._gleaner_folder = base
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner"))
+    """``df`` cut from its lineage, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path, in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner")
-    return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    return f"{_shared(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Intermediate tables as Parquet in the shared folder: they cut lineage, outlive executors, and go as soon as nothing needs them."""
+
+    ROWS = 200_000  # of a file, where the number of rows is known to be small
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.at = spark, shared_folder(spark, name), {}
+
+    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes the table; ``rows``: a bound of its number of rows, by which to write fewer files."""
+        path = f"{self.base}/{len(self.at)}_{name}"
+        schema = df.schema
+        (df if rows is None else df.coalesce(max(1, -(-rows // self.ROWS)))).write.parquet(path)
+        self.at[name] = path
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at[name])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column | str, mod: int) -> Column:
@@ -105,9 +137,15 @@ def batches(it: Iterable[pa.RecordBatch], text: str, most: int = 4_000_000) -> I
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes, so that very long texts don't meet in one batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """mapInArrow with batches bounded in rows and bytes, so that very long texts don't meet in one batch.
+
+    Plans read these two settings when they run, so they stay lowered in the session; lower ones of the user's are kept.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(fn, schema)
 
 

@@ -1,315 +1,189 @@
 """Operator 2: token ids in compressed binary blocks.
 
-Texts are encoded with a tokenizer file and an end id is appended to each. In ascending order of document ids, the ids
-form one stream a part; a part's stream is cut into blocks of ``BLOCK`` ids, and each block is coded by itself by a
-context-mixing range coder: an id is four hexadecimal digits, and each digit's distribution is the sum of three adaptive
-count tables (for the digits before it alone, with the id before, with the two ids before), weighed by weights that
-move towards the table that predicted best. Encoder and decoder use integers only.
+Texts are encoded with a tokenizer file and an end id is appended to each. In ascending order of document ids, whole documents
+are put into blocks of at least ``BLOCK`` ids (the last one of a part may have fewer), and each block is coded by itself by the
+context-mixing range coder of ``rangecoder``, whose model starts empty at every block.
 
-File format: Parquet files (columns part long, block int, payload binary), so that Spark's commit protocol writes them on any store. A
-payload is ``GIDS``, a version byte, the number of ids, the number of coded bytes, the number of document entries and
-the CRC-32 of all that follows (little-endian unsigned 32-bit integers); then the document entries, (id signed 64-bit,
-ids in this block unsigned 32-bit, 1 if the document goes on in the next block else 0 unsigned 32-bit); then the coded
-16-bit words. A wrong checksum raises an error that names the part and block.
+File format: Parquet files (columns part long, block int, payload binary), so that Spark's commit protocol writes them on any
+store. Parts follow one another in ascending order of ids, blocks within a part too. A payload is, little-endian: ``GIDS``,
+the version 2 (32 bits), the number of ids of the part before this block (64), the numbers of ids and of documents (32 each),
+the CRC-32 of all the other bytes; then each document's id (64) and number of ids (32); then the coded bytes. Ids may be any
+below 2^31; a larger one is refused. A wrong checksum raises an error that names the place.
 
-Many blocks are coded side by side, one lane each; lanes don't affect one another, so any grouping of blocks gives the same bytes.
+A part has at most ``part_bytes`` of text, one document or the rows of one id more; a block is coded, shipped and read as a
+whole, and holds no more than ``BLOCK`` ids and its last document.
 
 Edge cases: null and empty texts are the end id alone; rows that repeat an id are adjacent, ordered by text; null ids come first
-and are written as the smallest long; an empty table gives no blocks and reads back as no rows; other columns aren't written.
+and are written as the smallest long; an empty table gives no blocks and reads back as no rows; other columns aren't written,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import CACHE, batches, map_arrow, shared_folder
+from gleaner.llm import rangecoder
+from gleaner.llm.common import batches, map_arrow, shared_folder
 from gleaner.sources.tables import read_table
 
-BLOCK, LANES, END = 2048, 1024, 2
-DIGITS, BASE = 4, 16
-HASHED = 1 << 10  # rows of 16 counts in each hashed table, for each lane
-_HEAD, _ENTRY = struct.Struct("<4sBIIII"), np.dtype([("id", "<i8"), ("n", "<u4"), ("more", "<u4")])
+BLOCK, END = 1 << 14, 2
+_HEAD, _ENTRY = struct.Struct("<4sIQIII"), np.dtype([("id", "<i8"), ("n", "<u4")])
+_FILES = "part long, block int, payload binary"
+#: Two blanks, or white space other than blanks and line feeds: where these stand, cutting a text before each blank could change its ids.
+_UNCUT = r"  |[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Words that a worker's cache of ids may hold, some 200 bytes each.
+WORDS = 1_000_000
 
 
 class Encoder:
-    """Texts to ids, by words that follow a single space; equal to encoding whole texts, as no pretoken crosses such a place."""
+    """Texts to ids as bytes (unsigned, 32 bits, little-endian), equal to encoding whole texts.
+
+    In a byte-level tokenizer a blank after something that isn't white space begins a new pretoken, so a text is cut there. Each
+    different piece of a batch is looked up in a cache of ids that come from the tokenizer, too; the pieces that it lacks are encoded
+    together, with line feeds between them that are found again in the ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if "  " in text or any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        parts = text.split(" ")
-        parts[1:] = [f" {p}" for p in parts[1:]]
-        known = self.known
-        if new := {p for p in parts if p not in known}:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = set(parts)
-            new = sorted(new)
-            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for p in parts:
-            out += known[p]
-        return out
-
-
-class _Model:
-    """The digit predictions of a number of lanes."""
-
-    STEP = 24
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.rows = np.arange(lanes)
-        # order 0: 1 + 16 + 256 rows exactly, the last digit's 4096 rows folded into HASHED
-        self.tables = [np.zeros((lanes * (273 + HASHED), BASE), np.uint16), np.zeros((lanes * 2 * HASHED, BASE), np.uint16), np.zeros((lanes * 2 * HASHED, BASE), np.uint16)]
-        self.weights = np.full((lanes, DIGITS, 3), 64, np.int32)
-        self.weights[:, :, 1] = 128
-        self.weights[:, :, 2] = 255
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-
-    def look(self, digit: int, prefix: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Frequencies (lanes, 16) of the next digit, all at least 1, with a sum under 2**16 * 16."""
-        low = (0, 1, 17, 273)[digit] + (prefix & HASHED - 1)
-        mark = prefix + (1 << 4 * digit)
-        one = (self.one[live] * 0x9E3779B1 + mark * 0x85EBCA6B) >> 7 & 2 * HASHED - 1
-        two = ((self.one[live] * 0x9E3779B1 ^ self.two[live] * 0xC2B2AE35) + mark * 0x27D4EB2F) >> 9 & 2 * HASHED - 1
-        self.at = (live * (273 + HASHED) + low, live * 2 * HASHED + one, live * 2 * HASHED + two)
-        self.seen = [np.take(t, a, axis=0) for t, a in zip(self.tables, self.at, strict=True)]
-        w = self.weights[live, digit]
-        total = self.seen[0] * w[:, 0:1]
-        total += self.seen[1] * w[:, 1:2]
-        total += self.seen[2] * w[:, 2:3]
-        return (total >> 6) + 1
-
-    def learn(self, digit: int, symbol: np.ndarray, live: np.ndarray) -> None:
-        hits, i = [], self.rows[: len(live)]
-        place = i * BASE + symbol
-        for t, a, s in zip(self.tables, self.at, self.seen, strict=True):
-            had = s.reshape(-1)[place]
-            hits.append(had / (s.sum(1, dtype=np.int32) + 1))
-            t.reshape(-1)[a * BASE + symbol] = had + np.uint16(self.STEP)
-            full = np.flatnonzero(had > 1000)
-            if len(full):
-                t[a[full]] >>= 1
-        w = self.weights[live, digit]
-        best = np.argmax(np.stack(hits, 1), axis=1)
-        w -= w >> 5
-        w[i, best] += 8
-        self.weights[live, digit] = np.maximum(w, 4)
-
-    def push(self, ids: np.ndarray, live: np.ndarray) -> None:
-        self.two[live], self.one[live] = self.one[live], ids + 1
-
-
-_TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-
-
-def _renew(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """Lanes that must shift out 16 bits: settled ones, and those whose range has become too small to split."""
-    settled = (low ^ (low + wide)) < _TOP
-    small = ~settled & (wide < (_LOW + np.uint64(1)))
-    if small.any():
-        wide[small] = (~low[small] + np.uint64(1)) & _LOW
-    return settled | small
-
-
-def compress_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes each block of ids (below 65536) by itself."""
-    n = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((n, sizes.max(initial=0)), np.int64)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    model = _Model(n)
-    low, wide = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((n, 2 * ids.shape[1] + 16), np.uint16), np.zeros(n, np.int64)
-    for step in range(ids.shape[1]):
-        live = np.flatnonzero(sizes > step)
-        x, prefix = ids[live, step], np.zeros(len(live), np.int64)
-        for digit in range(DIGITS):
-            symbol = x >> 4 * (DIGITS - 1 - digit) & 15
-            f = model.look(digit, prefix, live)
-            upto = np.cumsum(f, axis=1)
-            i = np.arange(len(live))
-            high, own = upto[i, symbol], f[i, symbol]
-            unit = wide[live] // upto[:, -1].astype(np.uint64)
-            l, r = low[live] + unit * (high - own).astype(np.uint64), unit * own.astype(np.uint64)
-            go = np.flatnonzero(_renew(l, r))
-            while len(go):
-                lanes = live[go]
-                out[lanes, used[lanes]] = (l[go] >> np.uint64(48)).astype(np.uint16)
-                used[lanes] += 1
-                l[go] <<= np.uint64(16)
-                r[go] <<= np.uint64(16)
-                a, b = l[go], r[go]
-                again = _renew(a, b)
-                r[go] = b
-                go = go[again]
-            low[live], wide[live] = l, r
-            model.learn(digit, symbol, live)
-            prefix = prefix << 4 | symbol
-        model.push(x, live)
-    for _ in range(4):
-        out[np.arange(n), used] = (low >> np.uint64(48)).astype(np.uint16)
-        used += 1
-        low <<= np.uint64(16)
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
-
-
-def expand_lanes(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block."""
-    n, sizes = len(coded), np.array(sizes)
-    words = np.zeros((n, max(map(len, coded), default=0) // 2 + 8), np.uint64)
-    for i, c in enumerate(coded):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    ids = np.zeros((n, sizes.max(initial=0)), np.int64)
-    model = _Model(n)
-    low, wide, code, used = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64), np.full(n, 4)
-    for j in range(4):
-        code = code << np.uint64(16) | words[:, j]
-    for step in range(ids.shape[1]):
-        live = np.flatnonzero(sizes > step)
-        prefix = np.zeros(len(live), np.int64)
-        for digit in range(DIGITS):
-            f = model.look(digit, prefix, live)
-            upto = np.cumsum(f, axis=1)
-            i = np.arange(len(live))
-            unit = wide[live] // upto[:, -1].astype(np.uint64)
-            l, c = low[live], code[live]
-            target = np.minimum((c - l) // unit, upto[:, -1].astype(np.uint64) - np.uint64(1)).astype(np.int64)
-            symbol = (upto <= target[:, None]).sum(1)
-            high, own = upto[i, symbol], f[i, symbol]
-            l, r = l + unit * (high - own).astype(np.uint64), unit * own.astype(np.uint64)
-            go = np.flatnonzero(_renew(l, r))
-            while len(go):
-                lanes = live[go]
-                c[go] = c[go] << np.uint64(16) | words[lanes, used[lanes]]
-                used[lanes] += 1
-                l[go] <<= np.uint64(16)
-                r[go] <<= np.uint64(16)
-                a, b = l[go], r[go]
-                again = _renew(a, b)
-                r[go] = b
-                go = go[again]
-            low[live], wide[live], code[live] = l, r, c
-            model.learn(digit, symbol, live)
-            prefix = prefix << 4 | symbol
-        ids[live, step] = prefix
-        model.push(prefix, live)
-    return [ids[i, : sizes[i]] for i in range(n)]
-
-
-def _payloads(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    out = []
-    for (ids, entries), coded in zip(blocks, compress_lanes([b[0] for b in blocks]), strict=True):
-        body = entries.tobytes() + coded
-        out.append(_HEAD.pack(b"GIDS", 1, len(ids), len(coded), len(entries), zlib.crc32(body)) + body)
-    return out
-
-
-def _opened(payloads: list[bytes], where: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, document entries) of each block, checked."""
-    heads, entries, coded = [], [], []
-    for i, p in enumerate(payloads):
-        magic, version, n, size, docs, crc = _HEAD.unpack_from(p)
-        if magic != b"GIDS" or version != 1 or zlib.crc32(p[_HEAD.size :]) != crc:
-            raise ValueError(f"damaged block {i} of {where}")
-        cut = _HEAD.size + docs * _ENTRY.itemsize
-        heads.append(n)
-        entries.append(np.frombuffer(p[_HEAD.size : cut], _ENTRY))
-        coded.append(p[cut : cut + size])
-    return list(zip(expand_lanes(coded, heads), entries, strict=True))
+        self.known: dict[str, bytes] = {}
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # it would only hold what this cache lacks
+            self.tokenizer.model._resize_cache(0)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
+
+    def _all(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece after a blank; none of them is empty or holds a line feed."""
+        if self.feed >= 0:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            feeds = (4 * np.flatnonzero(ids == self.feed)).tolist()
+            if len(feeds) == len(pieces) - 1:
+                held = ids.tobytes()
+                return [held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)]
+        return self._all([f" {p}" for p in pieces])
+
+    def _after_blank(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(self.known) + len(new) > WORDS:  # those that came first are the frequent ones
+            self.known = dict(islice(self.known.items(), WORDS // 2))
+        learnt = {}
+        for i in range(0, len(plain := [p for p in new if p and "\n" not in p]), 4096):
+            learnt.update(zip(plain[i : i + 4096], self._plain(plain[i : i + 4096]), strict=True))
+        if rest := [p for p in new if not p or "\n" in p]:
+            learnt.update(zip(rest, self._all([f" {p}" for p in rest]), strict=True))
+        self.known.update(learnt)
+        return [learnt[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null one has none."""
+        texts = pc.fill_null(texts, "")
+        uncut = pc.match_substring_regex(texts, f"{_UNCUT}|{self.special}" if self.special else _UNCUT)
+        whole = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+        out = dict(zip(whole.tolist(), self._all(texts.take(pa.array(whole)).to_pylist()), strict=True)) if len(whole) else {}
+        cut = pc.split_pattern(pc.if_else(uncut, "", texts), " ")
+        bounds, coded = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), np.array(coded.indices)
+        firsts, code[bounds[:-1]] = np.unique(code[bounds[:-1]], return_inverse=True)  # with no blank before them
+        code[bounds[:-1]] += len(pieces)
+        table, code, ends = self._after_blank(pieces) + self._all([pieces[i] for i in firsts]), code.tolist(), bounds.tolist()
+        return [out[i] if i in out else b"".join(map(table.__getitem__, code[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that its cache lasts."""
+    return Encoder(path)
 
 
 def encode_blocks(docs: DataFrame, tokenizer: str, end: int = END, part_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, block, payload): the blocks of all documents, parts in ascending order of the ids."""
+    rangecoder.register(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 << 20))), -(-total // part_bytes))
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.col("text").asc_nulls_first())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, block = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, entries, used, ready = [], [], 0, []
+        coder, part, block, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        last, held, entries, used = np.array([end], "<u4").tobytes(), [], [], 0
 
         def emit() -> pa.RecordBatch:
-            nonlocal block, ready
-            n, payloads, ready = len(ready), _payloads(ready), []
-            block += n
-            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(block - n, block), pa.int32()), pa.array(payloads, pa.binary())], ["part", "block", "payload"])
-
-        def close() -> None:
-            nonlocal held, entries, used
-            ready.append((np.concatenate(held), np.array(entries, _ENTRY)))
-            held, entries, used = [], [], 0
-
-        for batch, texts in batches(it, "text", 1_000_000):
-            for doc, text in zip(batch.column("id").to_pylist(), texts, strict=True):
-                ids, at = np.array([*coder.encode(text), end], np.int64), 0
-                while at < len(ids):
-                    take = min(len(ids) - at, BLOCK - used)
-                    held.append(ids[at : at + take])
-                    at, used = at + take, used + take
-                    entries.append((doc, take, at < len(ids)))
-                    if used == BLOCK:
-                        close()
-                        if len(ready) == LANES:
-                            yield emit()
+            columns = ([part], [block], [start], [b"".join(held)], [np.array(entries, _ENTRY).tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "start", "ids", "docs"])
+
+        for batch, _ in batches(it, "text"):
+            for doc, ids in zip(batch.column("id").to_pylist(), coder.encode(batch.column("text")), strict=True):
+                held += (ids, last)
+                n = len(ids) // 4 + 1
+                entries.append((doc, n))
+                used += n
+                if used >= BLOCK:
+                    yield emit()
+                    block, start = block + 1, start + used
+                    held, entries, used = [], [], 0
         if used:
-            close()
-        if ready:
             yield emit()
 
-    return map_arrow(ordered, run, "part long, block int, payload binary")
+    blocks = map_arrow(ordered, run, "part long, block int, start long, ids binary, docs binary")
+    return blocks.select("part", "block", F.expr(f"{rangecoder.PACK}(ids, docs, start)").alias("payload"))
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
     encode_blocks(docs, tokenizer, **options).write.mode("errorifexists").parquet(path)
 
 
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(part, start, ids, docs) of each block in the files at ``path``, checked and decoded: ids and documents' entries as in the file format."""
+    rangecoder.register(spark)
+    entries = F.expr(f"substring(payload, {_HEAD.size + 1}, cast({_ENTRY.itemsize} * {_number(20, 4)} AS int))")
+    return spark.read.schema(_FILES).parquet(path).select("part", F.expr(_number(8, 8)).alias("start"), F.expr(f"{rangecoder.UNPACK}(payload)").alias("ids"), entries.alias("docs"))
+
+
+def _number(at: int, size: int) -> str:
+    """SQL of a little-endian number in the payload."""
+    turned = f"reverse(regexp_replace(hex(substring(payload, {at + 1}, {size})), '(.)(.)', '$2$1'))"
+    return f"cast(conv({turned}, 16, 10) AS bigint)"
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files at ``path``."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        out, start, n, crc, at = [], 0, 0, 0, 0
-        payloads = rows.payload.tolist()
-        for i in range(0, len(payloads), LANES):
-            for ids, entries in _opened(payloads[i : i + LANES], f"part {key[0]}, from block {i}"):
-                data, place = ids.astype("<u4"), 0
-                for e in entries:
-                    crc = zlib.crc32(data[place : place + e["n"]].tobytes(), crc)
-                    place, n = place + int(e["n"]), n + int(e["n"])
-                    if not e["more"]:
-                        out.append((key[0], int(e["id"]), start, n, crc))
-                        start, n, crc, at = start + n, 0, 0, at + 1
-        return pd.DataFrame(out, columns=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    docs = spark.read.schema("part long, block int, payload binary").parquet(path).groupBy("part").applyInPandas(run, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    blocks = spark.read.schema("part long, block int, payload binary").parquet(path)
-    little = lambda at: F.conv(F.concat(*[F.hex(F.substring("payload", at + i, 1)) for i in (3, 2, 1, 0)]), 16, 10).cast("long")
-    sizes = blocks.groupBy("part").agg(F.sum(little(6)).alias("ids"))
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files at ``path``; only a row for each part is shuffled."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for part, start, ids, docs in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "ids", "docs")), strict=True):
+                at, data = 0, memoryview(ids)
+                for e in np.frombuffer(docs, _ENTRY).tolist():
+                    rows.append((part, e[0], start + at // 4, e[1], zlib.crc32(data[at : at + 4 * e[1]])))
+                    at += 4 * e[1]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    docs = map_arrow(read_blocks(spark, path), run, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    heads = spark.read.schema(_FILES).parquet(path).select("part", (F.expr(_number(8, 8)) + F.expr(_number(16, 4))).alias("upto"))
+    sizes = heads.groupBy("part").agg(F.max("upto").alias("ids"))
     before = sizes.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return docs.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

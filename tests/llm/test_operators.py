@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gleaner.llm import decontam, fingerprints, languages, licenses, linededup, mixing, neardup, quality, tokenids, toxicity
+from gleaner.llm import decontam, fingerprints, languages, licenses, linededup, mixing, neardup, quality, rangecoder, tokenids, toxicity
 from gleaner.llm.common import WordHashes, fold
 
 EDGES = [(1, None, None), (2, "", "a"), (3, "  \n ", "a"), (4, "one two", "b"), (4, "one two", "b"), (5, "word " * 3000, None), (6, "x" * 30000, "a"), (7, "ü 漢字 🙂", "b")]
@@ -46,34 +48,62 @@ def test_quality(spark, edges, empty):
     assert {r.score for r in quality.score_quality(edges.where("doc_id = 4"), none).collect()} == {0.5}
 
 
-def test_coder_round_trip():
-    rng = np.random.default_rng(1)
-    blocks = [rng.integers(0, 50257, n) for n in (1, 2, 300)] + [rng.zipf(1.4, 500) % 50258, np.full(400, 50257), np.arange(100) % 7, np.full(64, 65535)]
-    coded = tokenids.compress_lanes(blocks)
-    assert all((a == b).all() for a, b in zip(tokenids.expand_lanes(coded, [len(b) for b in blocks]), blocks, strict=True))
-    assert tokenids.compress_lanes(blocks[4:5]) == coded[4:5] and len(coded[4]) < 100
-    payload = tokenids._payloads([(blocks[2], np.array([(1, 300, 0)], tokenids._ENTRY))])[0]
-    with pytest.raises(ValueError, match="damaged"):
-        tokenids._opened([payload[:-1] + bytes([payload[-1] ^ 1])], "here")
+def test_range_coder_returns_all_ids_and_notices_damage(spark):
+    rng = np.random.default_rng(3)
+    blocks = [np.array([], "<u4"), np.array([7], "<u4"), rng.integers(0, 50, 3000), np.repeat(9, 5000), np.array([70000, 5, 131072, 2**31 - 1, 0, 0]), rng.zipf(1.3, 20000) % 2**31, rng.integers(0, 2**31, 4000)]
+    rangecoder.register(spark)
+    rows = spark.createDataFrame([(i, b.astype("<u4").tobytes()) for i, b in enumerate(blocks)], "i long, ids binary").withColumn("docs", F.lit(b""))
+    coded = rows.selectExpr("i", f"{rangecoder.PACK}(ids, docs, i) AS p").collect()
+    size = {r.i: len(r.p) for r in coded}
+    assert size[3] < 100 and size[2] < 3000 and size[6] < 4 * 4000 + 600
+    packed = spark.createDataFrame(coded, "i long, p binary")
+    back = {r.i: np.frombuffer(r.x, "<u4") for r in packed.selectExpr("i", f"{rangecoder.UNPACK}(p) AS x").collect()}
+    assert all((back[i] == b).all() and len(back[i]) == len(b) for i, b in enumerate(blocks))
+    alone = rows.where("i = 5").selectExpr(f"{rangecoder.PACK}(ids, docs, i) AS p").first().p
+    assert alone == next(r.p for r in coded if r.i == 5)  # blocks don't depend on one another
+    for at in (9, 30, size[2] - 1):
+        bad = bytearray(next(r.p for r in coded if r.i == 2))
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="damaged"):
+            spark.createDataFrame([(bytes(bad),)], "p binary").selectExpr(f"{rangecoder.UNPACK}(p)").collect()
+    too_large = spark.createDataFrame([(np.array([2**31], "<u4").tobytes(),)], "ids binary")
+    with pytest.raises(Exception, match="below 2"):
+        too_large.selectExpr(f"{rangecoder.PACK}(ids, binary(''), 0L)").collect()
 
 
 def test_token_files(spark, edges, empty, tmp_path):
-    tokenids.write_blocks(edges, str(tmp_path / "ids"), tokenizer())
+    tokenids.write_blocks(edges.withColumn("part", F.lit("x")), str(tmp_path / "ids"), tokenizer())
     rows = sorted(tokenids.read_documents(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
-    coder, start = tokenids.Encoder(tokenizer()), 0
+    plain, start = Tokenizer.from_file(tokenizer()), 0
     for r, (i, text, _) in zip(rows, sorted(EDGES, key=lambda x: x[0]), strict=True):
-        ids = [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     tokenids.write_blocks(empty, str(tmp_path / "none"), tokenizer())
     assert tokenids.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_word_cache_equals_whole_texts():
-    coder, rng = tokenids.Encoder(tokenizer()), random.Random(4)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "Bc", " ", "\n", "\t", ".", "'s", "12", "é", "漢", "  ", "<|endoftext|>", "\r"]) for _ in range(rng.randrange(30)))
-        assert coder.encode(text) == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+def test_starts_go_on_over_blocks_and_parts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.choice([0, 3, 2000, 9000]))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenids.write_blocks(docs, str(tmp_path / "ids"), tokenizer(), part_bytes=200_000)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    assert files.select("part").distinct().count() > 2 and files.count() > files.select("part").distinct().count()
+    rows = sorted(tokenids.read_documents(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(40)]
+
+
+def test_word_cache_equals_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokenids, "WORDS", 40)
+    coder, rng, plain = tokenids.Encoder(tokenizer()), random.Random(4), Tokenizer.from_file(tokenizer())
+    parts = ["a", "Bc", " ", "\n", "\t", ".", "'s", "12", "é", "漢", "  ", "<|endoftext|>", "\r", "\x1c", "\u00a0", "\n ", " \n", "\n\n"]
+    for some in (parts, [p for p in parts if p not in ("\t", "  ", "\r", "\x1c", "\u00a0", "<|endoftext|>")]):
+        for _ in range(40):
+            texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(20)]
+            got = coder.encode(pa.array([None, *texts], pa.string()))
+            want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert got == [b"", *want], texts
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -117,6 +147,32 @@ def test_near_duplicates_equal_brute_force(spark, edges, empty):
     assert rows == {i: i for i, _, _ in EDGES} and neardup.near_duplicates(empty)[0].count() == 0
 
 
+def test_a_loosely_linked_group_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 8)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        other = list(base)
+        for _ in range(i % 9):
+            other[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(other))
+    rows = [(f"d{i:03}", t, 1) for i, t in enumerate(texts)] + [(None, texts[5], 1), (None, "nobody else has this", 1), ("e", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, class_id int")
+    got = {r.id: r.class_id for r in neardup.near_duplicates(docs)[0].collect() if r.id}
+    cache = WordHashes()
+    sets = [neardup.weighted_shingles(t, cache) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if neardup.similarity(sets[i], sets[j]) >= 0.8:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == {f"d{i:03}": f"d{w:03}" for i, w in enumerate(want)} | {"e": "e"} and len(set(want)) > 1
+    classes = neardup.near_duplicates(docs)[0]
+    assert neardup.keep_one(docs, classes).columns == docs.columns and neardup.keep_one(docs, classes).where("doc_id IS NULL").count() == 2
+
+
 def test_mix(spark, edges, empty):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a", "b", "c", None])) for i in range(400)]
