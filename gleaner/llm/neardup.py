@@ -3,18 +3,23 @@
 A text is the weighted set of its five-word shingles, the weight being how often one occurs. Over each element, darts
 fall on the plane of weight and rank with intensity one, as hashes of the element decide; those under the element's
 weight are its darts, each in one of ``SIZE`` coordinates, and a coordinate keeps the hash of its earliest dart. Only ranks up
-to ``RATE / total weight`` are looked at first, which fills all coordinates with a chance of over 99.9 %; texts with a gap
+to ``RATE / total weight`` are looked at first, which fills all coordinates of most texts; texts with a gap
 look further. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into ``BANDS`` bands of ``ROWS``: a pair of similarity 0.8 shares a band with probability 0.9999.
-Texts of equal words are collapsed to one representative before. In each band's bucket, all are compared with one centre,
-the representative that lies in the largest buckets, by exact weighted Jaccard similarity of the whole texts; while buckets hold
-many pairs that aren't linked, what isn't linked to it is compared with other centres, drawn by hashes for each bucket, and
-then, after ``ROUNDS`` rounds at most, all pairs of unlinked members that remain are compared one by one. So no bucket is capped, and one whose members are alike costs as
-many comparisons as it has members. Connected components of the verified links are the classes.
+Texts of equal words are collapsed to one representative before. Similarities are exact, of whole texts.
+
+First, each member of a band's bucket is compared with one centre, the representative that lies in the largest buckets, and
+connected components of the links give labels. Then the buckets that still hold different labels are compared throughout:
+cut into blocks of about ``SPLIT`` members, each pair of blocks is a unit of work, in which members of different labels
+are compared and only links that join two labels are given out. So no bucket is capped, no task gets a whole large bucket, and
+no list of pairs is ever made; a bucket whose members are alike costs as many comparisons as it has members, one that isn't as many as
+it has pairs of different labels. The links are a spanning set of the classes, not all pairs.
 
 Edge cases: texts of fewer than five words are one shingle; texts without a word (null, empty) are alone, each its own
-class; equal texts share a class; rows that repeat an id share one; further columns pass through; an empty table gives none.
+class; equal texts share a class; rows that repeat an id share one. Ids may be of any type that has an order; a row with a null id
+gets the class of an equal text that has an id, else null, and is never dropped. ``keep_one`` passes further columns through,
+whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,17 +31,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WordHashes, batches, checkpointed, map_arrow, mix, shingle_hashes, uniform, word_array, words_of
+from gleaner.llm.common import Tables, WordHashes, batches, map_arrow, mix, shingle_hashes, uniform, word_array, words_of
 from gleaner.sources.tables import read_table
 
 K, BANDS, ROWS = 5, 24, 5
 SIZE = BANDS * ROWS
-RATE = SIZE * (math.log(SIZE) + 7)
-ROUNDS = 4
-_FIRST = -10  # ranks below 2**_FIRST make the first cell
+RATE = SIZE * (math.log(SIZE) + 3)
+SPLIT = 512
+_FIRST = -2  # ranks below 2**_FIRST make the first cell
 
 
 @lru_cache(4096)
@@ -76,13 +81,9 @@ def _throw(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, most: np.ndarray,
                 ok = (w < weight[at]) & (rank <= most[at])
                 at, rank, d3 = at[ok], rank[ok], d3[ok]
                 slot = doc[at] * SIZE + (d3 % np.uint64(SIZE)).astype(np.int64)
-                order = np.lexsort((d3, rank, slot))
-                slot, rank, d3 = slot[order], rank[order], d3[order]
-                head = np.ones(len(slot), bool)
-                head[1:] = slot[1:] != slot[:-1]
-                slot, rank, d3 = slot[head], rank[head], d3[head]
-                earlier = rank < best[slot]
-                best[slot[earlier]], what[slot[earlier]] = rank[earlier], d3[earlier]
+                np.minimum.at(best, slot, rank)
+                first = rank == best[slot]
+                what[slot[first]] = d3[first]
                 dart += 1
 
 
@@ -110,12 +111,44 @@ def weighted_shingles(text: str | None, cache: WordHashes) -> tuple[np.ndarray,
     return np.unique(shingle_hashes(word_array(words_of(text), cache), K), return_counts=True)
 
 
+def likeness(one: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights: np.ndarray, which: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of one weighted set to others, whose elements are given together; 0 where both are empty."""
+    both = np.zeros(len(totals))
+    if len(one[0]):
+        at = np.minimum(np.searchsorted(one[0], hashes), len(one[0]) - 1)
+        there = one[0][at] == hashes
+        both = np.bincount(which[there], np.minimum(weights[there], one[1][at[there]]), len(totals))
+    either = one[1].sum() + totals - both
+    return both / np.maximum(either, 1)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sorted weighted sets; 0 if both are empty."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    either = a[1].sum() + b[1].sum() - both
-    return float(both / either) if either else 0.0
+    return float(likeness(a, b[0], b[1], np.zeros(len(b[0]), np.int64), np.array([b[1].sum()]))[0])
+
+
+def joining(sets: list[tuple[np.ndarray, np.ndarray]], labels: list, left: list[bool], right: list[bool], threshold: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) between members of different labels, one on the left, one on the right, until none are left that would join labels."""
+    names, label = np.unique(np.array([str(x) for x in labels]), return_inverse=True)
+    root = np.arange(len(names))
+    on_left, on_right = np.array(left, bool), np.array(right, bool)
+    totals = np.array([w.sum() for _, w in sets], np.float64)
+    which = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    hashes, weights = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+    common, found = np.bincount(label).argmax(), []
+    for i in np.argsort(label == common, kind="stable").tolist():  # members of the commonest label last: most of them are then done
+        other = root[label] != root[label[i]]
+        other &= (on_right if on_left[i] else False) | (on_left if on_right[i] else False)
+        other &= np.minimum(totals, totals[i]) >= threshold * np.maximum(totals, totals[i]) - 1e-9
+        on_left[i] = on_right[i] = False  # all its pairs are looked at now
+        if not other.any():
+            continue
+        some = other[which]
+        likes = likeness(sets[i], hashes[some], weights[some], which[some], totals)
+        for j in np.flatnonzero(other & (likes >= threshold)).tolist():
+            if root[label[i]] != root[label[j]]:
+                root[root == root[label[j]]] = root[label[i]]
+                found.append((i, j, float(likes[j])))
+    return found
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,38 +170,53 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     bands[i] = row
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "words", "bands"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, words binary, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, words binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole texts have at least ``threshold`` of weighted Jaccard similarity."""
-    held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+def _compared(asked: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity, label_a, label_b) found in the units (u, i, j) of rows (u, i, j, id, label, left, right)."""
+    rows = asked.join(texts, "id").repartition("u", "i", "j").sortWithinPartitions("u", "i", "j")
+    ids = rows.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, of_last = WordHashes(), None, None
-        for batch in it:
-            a, b, likes = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(len(a)):  # rows of one a come together
-                if (text := batch.column("text_a")[i].as_py()) != last:
-                    last, of_last = text, weighted_shingles(text, cache)
-                likes.append(similarity(of_last, weighted_shingles(batch.column("text_b")[i].as_py(), cache)))
-            ok = [x >= threshold for x in likes]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok, strict=True) if k], t) for v, t in ((a, pa.int64()), (b, pa.int64()), (likes, pa.float64()))], ["a", "b", "similarity"])
-
-    return map_arrow(held.select("a", "b", "text_a", "text_b"), run, "a long, b long, similarity double")
-
-
-def components(links: DataFrame) -> DataFrame:
+        cache, unit, held = WordHashes(), None, []
+
+        def links() -> pa.RecordBatch:
+            found = joining([h[3] for h in held], [h[0] for h in held], [h[1] for h in held], [h[2] for h in held], threshold) if held else []
+            columns = [[name[i] for i, _, _ in found] for name in (at_id, at_label)] + [[name[j] for _, j, _ in found] for name in (at_id, at_label)] + [[s for _, _, s in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, kind, kind, pa.float64()), strict=True)], ["a", "label_a", "b", "label_b", "similarity"])
+
+        at_id, at_label, kind = [], [], None
+        for batch, texts in batches(it, "text"):
+            kind = batch.column("id").type
+            for *here, doc, label, left, right, text in zip(*(batch.column(c).to_pylist() for c in ("u", "i", "j", "id", "label", "left", "right")), texts, strict=True):
+                if here != unit:
+                    if held:
+                        yield links()
+                    unit, held, at_id, at_label = here, [], [], []
+                held.append((label, left, right, weighted_shingles(text, cache)))
+                at_id.append(doc), at_label.append(label)
+        if held:
+            yield links()
+
+    return map_arrow(rows.select("u", "i", "j", "id", "label", "left", "right", "text"), run, f"a {ids}, label_a {ids}, b {ids}, label_b {ids}, similarity double")
+
+
+def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, label): the smallest node of each connected component of the links (a, b), by alternating large and small stars."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
+    edges = tables.put(f"{name}_edges", links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    rows, seen, turn = edges.count(), None, 0
+    few = lambda d: d.coalesce(max(1, -(-2 * rows // tables.ROWS)))
+    while rows:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        joined = edges.join(least, "a")
-        edges = checkpointed(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        large = few(both.where("b > a").join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        joined = few(large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a"))
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        after = tables.put(f"{name}_edges{turn + 1}", small, 2 * rows)
+        tables.drop(f"{name}_edges{turn or ''}")
+        edges, turn = after, turn + 1
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -177,66 +225,67 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (id, class_id, copies, n_links), one row per document, and links (a, b, similarity) between representatives."""
-    hashed = checkpointed(_hashed(docs, id_col, text_col))
-    texts_of = hashed.where("words IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    texts_of = checkpointed(texts_of)
-    rows = texts_of.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(rows.join(shared, "key").distinct())
-    central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = checkpointed(members.join(central, "node").select("key", "node", "c", F.col("node").alias("label")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    texts = checkpointed(texts.join(central.select(F.col("node").alias("id")), "id", "left_semi"))
-
-    compared = links = labels = None
-
-    def compare(pairs: DataFrame) -> None:
-        """Verifies those of the pairs (a, b) that haven't been compared, and links and labels anew."""
-        nonlocal compared, links, labels
-        pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
-        if compared is not None:
-            pairs = pairs.join(compared, ["x", "y"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = checkpointed(_verified(pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), texts, threshold))
-        compared = pairs.select("x", "y") if compared is None else compared.unionByName(pairs.select("x", "y"))
-        links = found if links is None else links.unionByName(found)
-        labels = checkpointed(components(links))
-
-    for turn in range(ROUNDS):
-        rank = F.struct("c", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("key", "node", F.lit(turn)), "node")
-        centre = members.groupBy("key").agg(F.max_by(F.struct("node", "label"), rank).alias("centre"))
-        beside = members.join(centre, "key").where("label <> centre.label")
-        compare(beside.select(F.col("centre.node").alias("a"), F.col("node").alias("b")))
-        named = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        size, cross = F.sum("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        parts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), size.alias("size"), cross.alias("cross")).where("parts > 1 AND size > 2")
-        parts = checkpointed(parts.select("key", "size", "cross"))
-        left = parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("pairs")).first()
-        if not left["rows"]:
-            break
-        named = checkpointed(named.join(parts.select("key"), "key", "left_semi").select("key", "node", "c", "label"))
-        if turn == ROUNDS - 1 or left["pairs"] <= 8 * left["rows"]:  # the rest, pair by pair
-            other = named.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            compare(named.join(other, "key").where("node < b AND label <> other").select(F.col("node").alias("a"), "b"))
-            break
-        members = named
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = texts_of.select("words", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("words", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """Membership (id, class_id, copies), one row per document, and spanning links (a, b, similarity) between representatives."""
+    tables = Tables(docs.sparkSession, "near_duplicates")
+    hashed = tables.put("hashed", _hashed(docs, id_col, text_col))
+    grouped = hashed.where("words IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    reps = tables.put("reps", grouped, BANDS * hashed.count())  # as each row becomes so many
+    rows = reps.where("rep IS NOT NULL").select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    members = tables.put("members", shared.withColumn("c", F.sum("n").over(Window.partitionBy("node"))))
+    most = members.count()
+    centre = members.groupBy("key").agg(F.max(F.struct("c", F.xxhash64("node").alias("h"), "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
+    beside = tables.put("beside", members.select("key", "node", "n").join(centre, "key").where("node <> centre"), most)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    texts = tables.put("texts", texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
+    tables.drop("members")
+
+    def spread(node: str, n: Column | str) -> Column:
+        return F.pmod(F.xxhash64(node), F.ceil(F.col(n) / SPLIT)).cast("int")
+
+    pairs = tables.put("pairs", beside.groupBy("centre", "node").agg(F.max("n").alias("n")).withColumn("i", spread("node", "n")), most)
+    unit = (F.col("centre").alias("u"), "i", F.lit(0).alias("j"))
+    star = pairs.select(*unit, F.col("node").alias("id"), F.col("node").alias("label"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    middle = pairs.select("centre", "i").distinct().select(*unit, F.col("centre").alias("id"), F.col("centre").alias("label"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    found = tables.put("links", _compared(star.unionByName(middle), texts, threshold))
+    labels = tables.put("labels", components(found, tables, "star"), most)
+    tables.drop("pairs")
+
+    named = beside.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    either = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(s)).cast("decimal(38,0)")).alias(f"set{s}") for s in (0, 1)))
+    mixed = either.where("x <> y").groupBy("n", "set0", "set1").agg(F.min("key").alias("key")).select("key")  # buckets of the same members once
+    rest = tables.put("rest", named.join(mixed, "key"), most)
+    links, final = found.select("a", "b", "similarity"), labels
+    if not rest.isEmpty():
+        blocks = F.ceil(F.col("n") / SPLIT).cast("int")
+        cut = rest.withColumn("at", spread("node", "n")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cut = cut.select(F.col("key").alias("u"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.col("node").alias("id"), "label", "at")
+        asked = cut.select("u", "i", "j", "id", "label", (F.col("at") == F.col("i")).alias("left"), (F.col("at") == F.col("j")).alias("right"))
+        again = tables.put("more_links", _compared(asked, texts, threshold))
+        links = links.unionByName(again.select("a", "b", "similarity"))
+        merged = components(again.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), tables, "rest")
+        held = labels.unionByName(rest.select("node", "label")).distinct().join(merged.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left")
+        final = tables.put("classes", held.select("node", F.coalesce("whole", "label").alias("label")), 2 * most)
+    tables.drop("beside", "rest", "texts")
+    named = reps.select("words", "rep", "copies").join(final.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    named = named.select("words", F.coalesce("label", "rep").alias("label"), "copies")
     out = hashed.select("id", "words").join(named, "words", "left")
-    return out.select("id", F.coalesce("label", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+    return out.select("id", F.coalesce("label", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")), links
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id, and one row of it."""
-    gone = classes.where("id <> class_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    twice = kept.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
-    again = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, id_col, "left_anti").unionByName(again.select(*kept.columns))
+    """``docs`` with one document of each class: the one with the smallest id, and one row of it, the first by a hash of all columns."""
+    kept = docs.join(classes.where("id <> class_id").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    of_row = F.struct(*(F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c in docs.columns))
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(of_row))
+    again = kept.join(twice, id_col, "left_semi").select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("r"), F.row_number().over(first).alias("n")).where("n = 1").select("r.*")
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(again)
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class and how many documents have its very words."""
     classes, _ = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.withColumnRenamed("id", "doc_id")
