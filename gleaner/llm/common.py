@@ -136,6 +136,19 @@ def batches(it: Iterable[pa.RecordBatch], text: str, most: int = 4_000_000) -> I
             yield batch.slice(start), column.slice(start).to_pylist()
 
 
+def merged(it: Iterable[pa.RecordBatch], text: str, most: int = 8_000_000) -> Iterable[pa.RecordBatch]:
+    """Record batches put together until their texts have ``most`` bytes, where work on a text is shared by its batch."""
+    held, used = [], 0
+    for batch in it:
+        held.append(batch)
+        used += batch.column(text).nbytes
+        if used >= most:
+            yield pa.concat_batches(held)
+            held, used = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches bounded in rows and bytes, so that very long texts don't meet in one batch.
 

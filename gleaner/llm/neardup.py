@@ -40,7 +40,7 @@ from gleaner.sources.tables import read_table
 K, BANDS, ROWS = 5, 24, 5
 SIZE = BANDS * ROWS
 RATE = SIZE * (math.log(SIZE) + 3)
-SPLIT = 512
+SPLIT = 256
 _FIRST = -2  # ranks below 2**_FIRST make the first cell
 
 
@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     centre = members.groupBy("key").agg(F.max(F.struct("c", F.xxhash64("node").alias("h"), "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
     beside = tables.put("beside", members.select("key", "node", "n").join(centre, "key").where("node <> centre"), most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    texts = tables.put("texts", texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
+    # Members grow with the documents: the join is by merging at every size, never by broadcasting them.
+    texts = tables.put("texts", texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"))
     tables.drop("members")
 
     def spread(node: str, n: Column | str) -> Column:

@@ -7,7 +7,8 @@ shared folder, so executors that join later get it too.
 A block's model starts empty. For each id, the id that last followed the two ids before it (order 2) and the one that last
 followed the id before it (order 1) are offered first. The chance that an offer is right is mixed, in the logistic domain and
 with weights that learn, from how often offers of such confidence were right, how often offers of ids of such frequency in the
-block (order 0) were, and how the last offers fared. An id that wasn't offered is coded by the frequencies of the block's ids so far
+block (order 0) were, and how the last offers fared. An offer of order 1 that has not been right
+yet is not made. An id that wasn't offered is coded by the frequencies of the block's ids so far
 (order 0), and one that is new to the block by the length of its number and its bits. All steps drive one range coder.
 """
 
@@ -37,11 +38,11 @@ final class Block {
     for (int i = 0; i < 64; i++) RATE[i] = (int) (65536 / (i + 1.6));
   }
 
-  static final int STEP = 24, MOST = 1 << 17;
+  static final int STEP = 24, MOST = 1 << 16, LEAST = 1 << 23;
   final boolean writing;
   byte[] data;
-  int at, cache, pending;
-  long low, code, range = 0xFFFFFFFFL;
+  int at, cache, pending, code, range = 0x7FFFFFFF;  // range and code stay below 2^31
+  long low;
 
   // what the block has taught so far; a place is the number of an id in order of its first occurrence
   int places, total, size = 16, steps, lastNew, fared, p1 = -1, p2 = -1;
@@ -67,7 +68,7 @@ final class Block {
     if (writing) { slots = new int[wide]; keys = new int[wide]; }
     java.util.Arrays.fill(chance, 32768);
     java.util.Arrays.fill(weights, 26000);
-    if (!writing) for (int i = 0; i < 5; i++) code = (code << 8 | next()) & 0xFFFFFFFFL;
+    if (!writing) for (int i = 0; i < 5; i++) code = code << 8 | next();
   }
 
   int next() { return at < data.length ? data[at++] & 255 : 0; }
@@ -79,7 +80,7 @@ final class Block {
 
   void shift() {
     range <<= 8;
-    if (!writing) { code = (code << 8 | next()) & 0xFFFFFFFFL; return; }
+    if (!writing) { code = code << 8 | next(); return; }
     if (low < 0xFF000000L || low > 0xFFFFFFFFL) {
       int carry = (int) (low >>> 32);
       put(cache + carry);
@@ -89,18 +90,18 @@ final class Block {
     low = (low & 0x00FFFFFFL) << 8;
   }
 
-  void close() { for (int i = 0; i < 5; i++) { range = 1; shift(); } }
+  void close() { for (int i = 0; i < 5; i++) shift(); }
 
   /** Codes or reads a bit that is 1 with the chance p of 65536. */
   int bit(int y, int p) {
-    long bound = (range >>> 16) * p;
+    int bound = (range >>> 16) * p;
     if (!writing) y = code < bound ? 1 : 0;
     if (y == 1) range = bound;
     else {
       range -= bound;
       if (writing) low += bound; else code -= bound;
     }
-    while (range < 1L << 24) shift();
+    while (range < LEAST) shift();
     return y;
   }
 
@@ -117,11 +118,11 @@ final class Block {
     if (n < 62) seen[context] = n + 1;
   }
 
-  void part(long from, long wide, long of) {
-    long unit = range / of;
-    if (writing) low += unit * from; else code -= unit * from;
+  /** Narrows the range to a part of it, given in units. */
+  void part(int from, int wide, int unit) {
+    if (writing) low += (long) unit * from; else code -= unit * from;
     range = unit * wide;
-    while (range < 1L << 24) shift();
+    while (range < LEAST) shift();
   }
 
   static int log(int x) { return 32 - Integer.numberOfLeadingZeros(x); }
@@ -215,17 +216,21 @@ final class Block {
         lastNew = (lastNew << 1 | fresh) & 3;
       }
       if (fresh == 0) {
+        int unit = range / total;
         if (writing) {
           int from = 0;
           for (int i = place; i > 0; i -= i & -i) from += tree[i];
           found = place;
-          part(from, count[place], total);
+          part(from, count[place], unit);
         } else {
-          int v = (int) Math.min(code / (range / total), total - 1), k = 0, left = v;
-          for (int half = size; half > 0; half >>= 1)
-            if (k + half <= size && tree[k + half] <= left) { k += half; left -= tree[k]; }
-          found = k;
-          part(v - left, count[k], total);
+          int v = Math.min(code / unit, total - 1), left = v;
+          found = 0;
+          for (int half = size >> 1; half > 0; half >>= 1) {  // without branches: goes on behind the half that ends before v
+            int sum = tree[found + half], passed = sum - left - 1 >> 31;
+            found += half & passed;
+            left -= sum & passed;
+          }
+          part(v - left, count[found], unit);
         }
       } else {
         int length = 1, tall = log(id);
@@ -235,8 +240,8 @@ final class Block {
         for (int rest = length - 1; rest > 0; ) {
           int wide = Math.min(rest, 12);
           rest -= wide;
-          int bits = writing ? id >>> rest & (1 << wide) - 1 : (int) Math.min(code / (range >>> wide), (1 << wide) - 1);
-          part(bits, 1, 1L << wide);
+          int unit = range >>> wide, bits = writing ? id >>> rest & (1 << wide) - 1 : Math.min(code / unit, (1 << wide) - 1);
+          part(bits, 1, unit);
           value = value << wide | bits;
         }
         grow();

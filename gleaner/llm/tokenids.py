@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import rangecoder
-from gleaner.llm.common import batches, map_arrow, shared_folder
+from gleaner.llm.common import map_arrow, merged, shared_folder
 from gleaner.sources.tables import read_table
 
 BLOCK, END = 1 << 14, 2
@@ -45,7 +45,7 @@ _FILES = "part long, block int, payload binary"
 #: Two blanks, or white space other than blanks and line feeds: where these stand, cutting a text before each blank could change its ids.
 _UNCUT = r"  |[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Words that a worker's cache of ids may hold, some 200 bytes each.
-WORDS = 1_000_000
+WORDS = 800_000
 
 
 class Encoder:
@@ -133,7 +133,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end: int = END, part_bytes: i
             columns = ([part], [block], [start], [b"".join(held)], [np.array(entries, _ENTRY).tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "start", "ids", "docs"])
 
-        for batch, _ in batches(it, "text"):
+        for batch in merged(it, "text"):
             for doc, ids in zip(batch.column("id").to_pylist(), coder.encode(batch.column("text")), strict=True):
                 held += (ids, last)
                 n = len(ids) // 4 + 1
