@@ -168,6 +168,13 @@ def extended(df: DataFrame, **columns: str) -> tuple[DataFrame, T.StructType]:
     return df, T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items())).fields])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str, text_col: str) -> DataFrame:
     """(label, text) of at most ``per_class`` rows of each of the labels 0 and 1: those of the smallest id hashes.
 

@@ -7,7 +7,7 @@ the item's other terms, reach the threshold, a bound that loses nothing. For the
 items above the threshold. An item longer than ``PIECE`` words is indexed as a whole and in pieces of ``PIECE`` words at each
 ``STRIDE`` words, each with impacts over its own score, so that whatever the item's length a passage can hold a piece whole.
 A hit is verified on the words about the passage, always for the whole item: both the item's question
-(all but its last sentence, or the first two thirds of a single sentence) and its answer (the rest) must have ``overlap`` of
+(all but its last sentence, which is extended backwards to ``LEAST_ANSWER`` words or half the item, or the first two thirds of a single sentence) and its answer (the rest) must have ``overlap`` of
 their distinct word pairs there.
 
 The index is broadcast; it holds at most ``shard`` items and ``MOST_BYTES`` of text. More items are cut into several
@@ -15,7 +15,8 @@ indexes, and the documents are read once for each; number, mean length and docum
 
 Edge cases: null, empty and wordless texts and items have no hits; a text shorter than a window is one passage; repeated
 items each have their hits, repeated rows get equal results; ties in WAND go by item; without items nothing is hit;
-further columns pass through. Passages cover whole texts, and no number of items or hits is capped.
+documents'
+further columns play no part, and ``without_leaks`` returns them all. Passages cover whole texts, and no number of items or hits is capped.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from gleaner.sources.tables import read_table
 
 WINDOW, STRIDE, BLOCK, MOST_BYTES = 96, 32, 32, 32 << 20
 PIECE = WINDOW - STRIDE  # a run of so many words lies within one passage, wherever it begins
+LEAST_ANSWER = 8  # words; a shorter last sentence is taken with the words before it
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -103,7 +105,9 @@ def _parts(text: str) -> tuple[list[str], list[str]]:
     """The words of the question and of the answer."""
     sentences = [w for s in _SENTENCE.split(text) if (w := words_of(s))]
     if len(sentences) > 1:
-        return [w for s in sentences[:-1] for w in s], sentences[-1]
+        words, n = [w for s in sentences for w in s], len(sentences[-1])
+        n = max(n, min(LEAST_ANSWER, len(words) // 2))
+        return words[:-n], words[-n:]
     words = sentences[0] if sentences else []
     cut = -(-2 * len(words) // 3)
     return words[:cut], words[cut:]

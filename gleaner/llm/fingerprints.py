@@ -7,7 +7,8 @@ ranges filled in either in which they agree; moving, repeating or replacing part
 
 All is done within a row on sorted arrays of longs that hold the leading 40 bits of a hash and a 24-bit position; a text of
 over 16 million pieces counts positions modulo 2^24. Null and empty texts have an empty fingerprint, equal to one another
-(likeness 1); a text of fewer pieces than ``K`` is one element. Equal texts have equal fingerprints.
+(likeness 1); a text of fewer pieces than ``K`` is one element. Equal texts have equal fingerprints, so repeated rows do; equal hashes
+are ordered by their place in the text; an empty table gives none; further columns pass through, one named fingerprint is replaced.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with fingerprint (string)."""
-    return fingerprint_array(docs, text_col, "_f").withColumn("fingerprint", fingerprint_text(F.col("_f"))).drop("_f")
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != "fingerprint"]
+    rows = fingerprint_array(docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text")), "text", "prints")
+    return rows.select("row.*", fingerprint_text(F.col("prints")).alias("fingerprint"))
 
 
 def with_next(rows: DataFrame, ids: DataFrame, id_col: str, columns: list[str]) -> DataFrame:

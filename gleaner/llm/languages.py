@@ -8,7 +8,8 @@ the margin over the second is under ``margin`` of the best size, the operator re
 ``lang_best`` still names the best guess.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, in both columns; equal sizes go to the language
-with more documents to learn from, then to the one that sorts first; repeated rows agree; without any dictionary everything is ``und``. Further columns pass through.
+with more documents to learn from, then to the one that sorts first; repeated rows agree; without any dictionary everything is ``und``. More than ``MOST_LANGUAGES``
+languages to learn are refused. An empty table gives none; columns named as outputs are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import batches, extended, fold, map_arrow
 from gleaner.sources.tables import read_table
 
-CHUNK, PIECES = 8 << 10, 4
+CHUNK, PIECES, MOST_LANGUAGES = 8 << 10, 4, 256
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -58,7 +59,10 @@ def learn_languages(docs: DataFrame, learn, per_language: int = 300, per_text: i
     size, piece = F.length(text_col), per_text // PIECES
     starts = [F.floor((size - piece) * k / (PIECES - 1)).cast("int") + 1 for k in range(PIECES)]
     spread = F.when(size <= per_text, F.col(text_col)).otherwise(F.concat_ws(" ", *[F.substring(F.col(text_col), at, F.lit(piece)) for at in starts]))
-    texts = known.join(ids, (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"])).select("_lang", F.xxhash64("_id").alias("h"), spread.alias("t"))
+    langs = known.select(lang_col).distinct().count()
+    if langs > MOST_LANGUAGES:
+        raise ValueError(f"{langs} languages; at most {MOST_LANGUAGES} dictionaries are broadcast")
+    texts = known.join(F.broadcast(ids), (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"]))  # at most per_language ids of each.select("_lang", F.xxhash64("_id").alias("h"), spread.alias("t"))
     by: dict[str, list] = {}
     for r in texts.collect():
         by.setdefault(r._lang, []).append((r.h, r.t))

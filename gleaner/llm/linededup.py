@@ -10,7 +10,7 @@ source are merged into spans, each span is compared byte by byte with its first
 the spans that are equal are removed. So of every removed line an equal one stays at a smaller place.
 
 Edge cases: null texts stay null, empty ones empty; texts without repeats are untouched; repeats within one text count;
-rows with a null id are left alone; rows that repeat an id are taken as one document and don't repeat each other; further
+rows with a null id are left alone; rows that repeat an id are taken as one document and don't repeat each other; an empty table gives none; further
 columns pass through, those named as outputs are replaced. No count, text or number of occurrences is capped.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import M64, WORD, batches, checkpointed, extended, hash64, map_arrow
+from gleaner.llm.common import M64, WORD, batches, checkpointed, extended, fresh, hash64, map_arrow
 from gleaner.sources.tables import read_table
 
 DIVISOR = 4
@@ -99,6 +99,16 @@ def remove_repeated(docs: DataFrame, least_words: int = 20, long_line: int = 50,
     again = chunks.join(first, "key").where("id <> src OR line <> src_line")
     again = again.groupBy("id").agg(F.collect_set(F.struct("line", "n", "src", "src_line")).alias("found"))
 
+    def cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(it, "text", 1_000_000):
+            rows = []
+            for text, found in zip(texts, batch.column("found").to_pylist(), strict=True):
+                lines = text.split("\n")
+                rows += [(f["src"], f["line"], f["n"], "\n".join(lines[f["line"] : f["line"] + f["n"]])) for f in found]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["src", "src_line", "n", "first_span"])
+
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, "text", 1_000_000):
             rows = []
@@ -109,29 +119,20 @@ def remove_repeated(docs: DataFrame, least_words: int = 20, long_line: int = 50,
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "line", "n", "src", "src_line", "span"])
 
-    spans = map_arrow(plain.join(again, "id"), gather, "id long, line int, n int, src long, src_line int, span string")
-    beside = spans.join(plain.select(F.col("id").alias("src"), "text"), "src").select("id", "line", "n", "src", "src_line", "span", "text")
-
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lines = None, []
-        for batch in it:
-            keep = []
-            for i in range(batch.num_rows):
-                if (text := batch.column("text")[i].as_py()) != last:
-                    last, lines = text, text.split("\n")
-                at, n = batch.column("src_line")[i].as_py(), batch.column("n")[i].as_py()
-                keep.append("\n".join(lines[at : at + n]) == batch.column("span")[i].as_py())
-            yield batch.select(["id", "line", "n"]).filter(pa.array(keep, pa.bool_()))
-
-    equal = map_arrow(beside, compare, "id long, line int, n int").groupBy("id").agg(F.collect_set(F.struct("line", "n")).alias("_spans"))
+    spans = checkpointed(map_arrow(plain.join(again, "id"), gather, "id long, line int, n int, src long, src_line int, span string"))
+    asked = spans.select("src", "src_line", "n").distinct().groupBy("src").agg(F.collect_list(F.struct(F.col("src_line").alias("line"), "n", F.col("src").alias("src"), F.col("src_line").alias("src_line"))).alias("found"))
+    first_spans = map_arrow(plain.join(asked.withColumnRenamed("src", "id"), "id"), cut_out, "src long, src_line int, n int, first_span string")
+    equal = spans.join(first_spans, ["src", "src_line", "n"]).where(F.col("span") == F.col("first_span"))  # byte by byte, once for each occurrence
+    equal = equal.groupBy("id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
     equal = checkpointed(equal)
     docs, schema = extended(docs, clean_text="string", n_lines="int", n_removed="int", removed="array<struct<line:int,n:int>>")
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(equal.withColumnRenamed("id", "_id"), "_id", "left").select(*docs.columns, "_spans")
+    key, cuts = fresh(docs, "_id"), fresh(docs, "_spans")
+    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(equal.select(F.col("id").alias(key), F.col("spans").alias(cuts)), key, "left").select(*(f"`{c}`" for c in docs.columns), cuts)
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, text_col, 1_000_000):
             out, total, gone, where = [], [], [], []
-            for text, spans in zip(texts, batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(texts, batch.column(cuts).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
                 drop = np.zeros(len(lines), bool)
                 for s in spans or ():
@@ -141,7 +142,7 @@ def remove_repeated(docs: DataFrame, least_words: int = 20, long_line: int = 50,
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
                 where.append([{"line": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             kind = pa.list_(pa.struct([("line", pa.int32()), ("n", pa.int32())]))
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_spans"]
+            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != cuts]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array(total, pa.int32()), pa.array(gone, pa.int32()), pa.array(where, kind)], [f.name for f in schema])
 
     return map_arrow(joined, clean, schema)

@@ -6,9 +6,9 @@ space. The labelled vectors are broadcast, which that parameter bounds. Every do
 blocked cosine products, without an approximate index, and its ``neighbours`` nearest vote with the cube of their
 cosines, each label's votes weighed by its share of the sample.
 
-Edge cases: a null, empty or blank text has the zero vector and scores 0; ties among neighbours go to the smaller place
+Edge cases: a null, empty or blank text has the zero vector and scores 0; cosines are rounded to five digits, and ties among neighbours go to the smaller place
 in the sample; repeated rows score alike; with rows of only one label, that label is the score; without labelled rows every
-score is 0.5. Further columns are ignored. The text is scored as a whole.
+score is 0.5. Further columns pass through, one named as the output is replaced; an empty table gives none. The text is scored as a whole.
 """
 
 from __future__ import annotations
@@ -81,9 +81,12 @@ class Neighbours:
             return out
         k = min(self.k, len(self.labels))
         for i in range(0, len(counts), block):
-            cosines = self.embed(counts[i : i + block]) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** 3 * self.weights[near]
+            cosines = (self.embed(counts[i : i + block]) @ self.vectors.T).round(5)
+            least = np.partition(cosines, -k, axis=1)[:, -k, None]
+            tied = cosines == least
+            near = (cosines > least) | (tied & (np.cumsum(tied, axis=1) <= k - (cosines > least).sum(1, keepdims=True)))
+            near = np.nonzero(near)[1].reshape(-1, k)
+            votes = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(np.float64) ** 3 * self.weights[near]
             out[i : i + block] = (votes * self.labels[near]).sum(1) / votes.sum(1)
         return np.clip(out, 0.0, 1.0)
 
