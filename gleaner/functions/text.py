@@ -21,6 +21,8 @@ EXCLUDED_PATH = (
     r"(?i)(^|/)(tests?|testing|spec|__tests__|test_?data|fixtures?|examples?|samples?|docs?|benchmarks?|vendor|third[_-]?party|external|extern|deps|node_modules|build|dist|generated|gen|migrations)(/|$)"
     r"|(_test|Test|Tests|_pb2)\.[a-z]+$|\.min\.|(^|/|[._-])(tests?|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$"
 )
+CLASS_LIKE = r"^\s*(@\w+(\([^)]*\))?\s+)*((public|private|protected|abstract|final|static)\s+)*(class|interface|enum)\b"
+LICENSE_FILE = r"^(?i)(LICEN[CS]E|COPYING)(\.|$|-)"
 MIN_FINGERPRINT_TOKENS = 40
 
 
@@ -39,10 +41,14 @@ def tokens(norm: Column) -> Column:
 
 
 def abstracted(toks: Column) -> Column:
-    """Identifiers to ``ID`` and numbers to ``NUM``; keywords in any case stay."""
-    keep = F.array(*map(F.lit, KEYWORDS))
-    name = lambda t: t.rlike(r"(?U)^[\p{Alpha}_$]") & ~F.array_contains(keep, F.lower(t))
-    return F.transform(toks, lambda t: F.when(name(t), F.lit("ID")).when(t.rlike(r"(?U)^\d"), F.lit("NUM")).otherwise(t))
+    """Identifiers to ``ID`` and numbers to ``NUM``; keywords in any case stay.
+
+    Text comes from tokens by two replacements, each over a whole text at once; tokens never hold the separator.
+    """
+    name = rf"(?<=\n)(?!(?i:{'|'.join(KEYWORDS)})\n)[\p{{IsAlphabetic}}_$][A-Za-z0-9_$]*(?=\n)"
+    joined = F.concat(F.lit("\n"), F.array_join(toks, "\n"), F.lit("\n"))
+    marked = F.regexp_replace(F.regexp_replace(joined, r"(?U)(?<=\n)\d[^\n]*", "NUM\t"), name, "ID")
+    return F.when(F.size(toks) == 0, toks).otherwise(F.split(F.btrim(F.regexp_replace(marked, "\t", ""), F.lit("\n")), "\n"))
 
 
 def exact_hash(norm: Column) -> Column:
@@ -61,6 +67,14 @@ def shingles(toks: Column, k: int = 5) -> Column:
     return F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(toks: Column, k: int = 5) -> Column:
+    """The hashes of ``shingles``, made without their texts."""
+    n = F.size(toks)
+    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*(F.get(toks, i + j) for j in range(k))))
+    short = F.array(F.xxhash64(F.array_join(toks, " "), n))
+    return F.when(n >= k, F.array_distinct(runs)).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+
+
 def family_id(url: Column) -> Column:
     """host/owner/name of a repository address."""
     bare = F.regexp_replace(F.lower(F.trim(url)), r"^(https?://|git@|ssh://git@)", "")
@@ -84,7 +98,7 @@ def item_id(seed: int, sample_id: Column) -> Column:
 
 
 def class_like(code: Column) -> Column:
-    return code.rlike(r"^\s*((public|private|protected|abstract|final|static)\s+)*(class|interface|enum)\s")
+    return code.rlike(CLASS_LIKE)
 
 
 def rename_leaky(code: Column, name: Column, leaky: str) -> Column:
@@ -94,7 +108,8 @@ def rename_leaky(code: Column, name: Column, leaky: str) -> Column:
 
 
 def drop_lines(code: Column, phrase: str) -> Column:
-    return F.array_join(F.filter(F.split(code, "\n"), lambda line: ~line.contains(phrase)), "\n")
+    """Without the lines that hold the phrase, in any case."""
+    return F.array_join(F.filter(F.split(code, "\n"), lambda line: ~F.lower(line).contains(phrase.lower())), "\n")
 
 
 def slice_lines(code: Column, first: Column, last: Column) -> Column:
@@ -106,5 +121,10 @@ def raw_url(repository: Column, commit: Column, path: Column) -> Column:
     return F.concat_ws("/", F.lit("https://raw.githubusercontent.com"), F.substring_index(F.regexp_replace(repository, r"\.git$", ""), "github.com/", -1), commit, F.ltrim(path, F.lit("/")))
 
 
+def slug(url: Column) -> Column:
+    """owner/name of a repository's address."""
+    return F.btrim(F.regexp_replace(F.substring_index(url, "github.com/", -1), r"\.git$", ""), F.lit("/"))
+
+
 def is_machine(reviewer: Column) -> Column:
     return reviewer.rlike("(?i)^llm")

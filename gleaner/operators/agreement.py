@@ -34,12 +34,13 @@ def disagreements(pairs: DataFrame, a: str, b: str, earlier: DataFrame | None =
 
 
 def resolve(grid: DataFrame, reviews: DataFrame, adjudications: DataFrame, version: str = "annotation/1") -> DataFrame:
-    """status, quality, adjudicated, source and confidence of each (item_id, partition, aspect) of ``grid``.
+    """status, quality, adjudicated, source, confidence and annotators of each (item_id, partition, aspect) of ``grid``.
 
     Equal reviews of two or more are gold, also when they agree on unknown; differing ones need a valid adjudication; a
     single review counts outside the test partition only, and weakly.
     """
-    by = reviews.groupBy("item_id", "aspect").agg(F.countDistinct("reviewer").alias("k"), F.collect_set("status").alias("s"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    by = reviews.groupBy("item_id", "aspect").agg(F.countDistinct("reviewer").alias("k"), F.collect_set("status").alias("s"), F.round(F.avg("confidence"), 3).alias("confidence"), F.sort_array(F.collect_set("reviewer")).alias("annotators"))
+    adjudications = adjudications.withColumn("adjudicated_status", F.lower(F.trim("adjudicated_status")))
     valid = adjudications.where(F.col("adjudicated_status").isin("positive", "negative", "unknown")).select("item_id", "aspect", "adjudicated_status", "adjudicator")
     rows = grid.join(by, ["item_id", "aspect"], "left").join(valid, ["item_id", "aspect"], "left")
     k, one = F.coalesce("k", F.lit(0)), F.size("s") == 1
@@ -49,5 +50,22 @@ def resolve(grid: DataFrame, reviews: DataFrame, adjudications: DataFrame, versi
     return rows.select(
         "item_id", "partition", "aspect", case(unknown, only, F.col("adjudicated_status"), unknown, unknown, only).alias("status"),
         case(lit("weak"), lit("gold"), lit("gold"), lit("weak"), lit("weak"), lit("weak")).alias("quality"), case(lit(False), lit(True), lit(True), lit(False), lit(False), lit(False)).alias("adjudicated"),
-        case(lit("unreviewed"), lit(f"{version}:agreed"), F.concat(lit(f"{version}:adjudicated:"), F.col("adjudicator")), lit(f"{version}:disagreement-pending"), lit(f"{version}:single-review"), lit(f"{version}:single-review")).alias("source"), "confidence",
+        case(lit("unreviewed"), lit(f"{version}/agreed"), F.concat(lit(f"{version}/adjudicated:"), F.col("adjudicator")), lit(f"{version}/disagreement-pending"), lit(f"{version}/single-review"), lit(f"{version}/single-review")).alias("source"), "confidence",
+        F.coalesce("annotators", F.array().cast("array<string>")).alias("annotators"),
     )
+
+
+def label_map(resolved: DataFrame, rubric: str) -> DataFrame:
+    """(item_id, partition, labels): the resolved labels of each item as the map that samples carry."""
+    label = F.struct("status", "quality", "source", F.lit(rubric).alias("rubric_version"), "confidence", "annotators", "adjudicated")
+    return resolved.groupBy("item_id", "partition").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("aspect", label.alias("label"))))).alias("labels"))
+
+
+def label_counts(resolved: DataFrame) -> DataFrame:
+    """Evidence of the labels: how many of each partition, quality and status, unreviewed ones apart."""
+    return resolved.groupBy("partition", "quality", "status", (F.col("source") == "unreviewed").alias("unreviewed")).agg(F.count("*").alias("n"))
+
+
+def unreviewed(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Items without any review."""
+    return items.join(reviews.select("item_id").distinct(), "item_id", "left_anti")

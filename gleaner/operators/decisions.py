@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.types import NEGATIVE, POSITIVE, QUALITIES, STATUSES, UNKNOWN
@@ -116,6 +116,12 @@ def cosine_margin(df: DataFrame, state: str, true: str, false: str, scale: float
     return df.withColumn("margin", F.col("logit_true") - F.col("logit_false")).withColumn("p_true", 1 / (1 + F.exp(-F.col("margin"))))
 
 
+def ordered_distinct(rows: DataFrame, column: str, order: str, limit: int) -> DataFrame:
+    """(position, value): the first different values in order of their first appearance; only these are numbered, in one task."""
+    first = rows.groupBy(column).agg(F.min(order).alias("_first")).orderBy("_first").limit(limit)
+    return first.withColumn("position", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
+
+
 def missing_vectors(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct texts without a vector, with the key of the cache."""
     return texts.select("text").distinct().withColumn("text_sha1", F.sha1("text")).join(cache.select("text_sha1"), "text_sha1", "left_anti")

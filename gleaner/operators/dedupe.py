@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.folders import shared_base
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage, in the shared folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
@@ -44,7 +45,8 @@ def near_pairs(df: DataFrame, shingle_col: str, block: str, id_col: str = "sampl
     Exact, by prefix filtering: with the shingles of each set ordered from the rarest, two similar sets share one of the
     first n - ceil(threshold * n) + 1. Frequent shingles so hardly ever meet in the join, and no set is capped.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_distinct(F.transform(F.col(shingle_col), lambda s: F.xxhash64(s))).alias("hs"))
+    hashes = F.col(shingle_col) if df.schema[shingle_col].dataType.simpleString() == "array<bigint>" else F.array_distinct(F.transform(F.col(shingle_col), lambda s: F.xxhash64(s)))
+    sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), hashes.alias("hs"))
     sets = checkpointed(sets).withColumn("n", F.size("hs")).where("n > 0")
     rows = sets.select("id", "block", "n", F.explode("hs").alias("h"))
     frequent = rows.groupBy("block", "h").agg(F.count("*").alias("times"))

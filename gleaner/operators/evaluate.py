@@ -99,6 +99,11 @@ def top_errors(df: DataFrame, k: int = 5) -> DataFrame:
     return df.where(F.col("error").isin("fp", "fn")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def holdout_recall(positives: DataFrame) -> DataFrame:
+    """By aspect, the share of held-out positives that were predicted, and their number."""
+    return positives.groupBy("aspect").agg(F.avg("pred").alias("recall"), F.count("*").alias("support"))
+
+
 def cluster_counts(df: DataFrame, cluster: str, systems: dict[str, str]) -> DataFrame:
     """tp, fp, fn of each system by cluster and aspect: all that a bootstrap needs of the rows."""
     cell = lambda p, a, b: F.count_if((F.col("label") == a) & (F.col(p) == b))

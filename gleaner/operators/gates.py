@@ -32,6 +32,22 @@ def supported(gates: DataFrame) -> bool:
     return bool(gates.where("level <> 'cell'").agg(F.bool_and("passed")).first()[0])
 
 
+def pilot_counts(decided: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """Rows by split, aspect and label; raises where they differ from a frozen table of the same columns."""
+    found = decided.groupBy("split", "aspect", "label").agg(F.count("*").alias("n"))
+    if frozen is not None:
+        held = found.select("split", "aspect", "label", "n")
+        if held.exceptAll(frozen.select(*held.columns)).count() or frozen.select(*held.columns).exceptAll(held).count():
+            raise RuntimeError("the counts differ from the frozen manifest")
+    return found
+
+
+def balanced_support(counts: DataFrame, splits: list[str]) -> bool:
+    """Whether every aspect has as many positives as negatives, and some, in each of the splits."""
+    sides = counts.where(F.col("split").isin(splits)).groupBy("split", "aspect").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
+    return bool(sides.agg(F.coalesce(F.bool_and((F.col("p") == F.col("q")) & (F.col("p") > 0)), F.lit(False))).first()[0])
+
+
 def test_labels(decided: DataFrame) -> DataFrame:
     """Evaluated rows, those not gold, examples, and whether all is gold and anything is evaluated."""
     bad = ~F.coalesce("label_gold", F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import code, text
+from gleaner.functions import text
 from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, sampling
 from gleaner.sources.tables import read_table
 
@@ -17,6 +17,7 @@ ASPECTS = ["quality", "toxic"]
 RULES = {"quality": ("n_chars", 1500), "toxic": ("n_chars", 3000)}
 SEED = 20240101
 LANGUAGES = ["de", "en", "es", "fr"]
+MOST_ITEM_SHINGLES = 1_000_000  # to broadcast, 20 bytes each
 QUERIES, SQL = {}, {}
 
 
@@ -101,7 +102,7 @@ def tokened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokened(spark, d).withColumn("sh", F.when(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS, text.shingles(F.col("toks"))).otherwise(F.array().cast("array<string>")))
+    rows = tokened(spark, d).withColumn("sh", F.when(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS, text.shingle_hashes(F.col("toks"))).otherwise(F.array().cast("array<bigint>")))
     return dedupe.near_pairs(rows, "sh", "language", "doc_id")
 
 
@@ -212,12 +213,13 @@ def cross_split_pairs(spark, d):
     return rounded(dedupe.crossing_pairs(near(spark, d), docs(spark, d), "doc_id"), "similarity", digits=6).select("a", "b", "similarity", "split_a", "split_b")
 
 
-@query(r", items AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS s FROM (SELECT item_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '" + TOKEN_SQL + r"') AS t FROM benchmark)), item_sizes AS (SELECT item_id, count(*) AS m FROM items GROUP BY 1) SELECT doc_id, item_id, round(count(*) / any_value(m)::DOUBLE, 6) AS containment FROM shingled JOIN items USING (s) JOIN item_sizes USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(m)::DOUBLE >= 0.5")
+@query(r", own AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(toks) >= 5 THEN list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i+4], ' ')) WHEN len(toks) > 0 THEN [array_to_string(toks, ' ')] ELSE [] END)) AS s FROM tokened), items AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS s FROM (SELECT item_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '" + TOKEN_SQL + r"') AS t FROM benchmark)), item_sizes AS (SELECT item_id, count(*) AS m FROM items GROUP BY 1) SELECT doc_id, item_id, round(count(*) / any_value(m)::DOUBLE, 6) AS containment FROM own JOIN items USING (s) JOIN item_sizes USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(m)::DOUBLE >= 0.5")
 def benchmark_overlap(spark, d):
-    own = tokened(spark, d).where(F.size("toks") >= text.MIN_FINGERPRINT_TOKENS).select("doc_id", F.explode(text.shingles(F.col("toks"))).alias("s"))
     toks = text.tokens(text.collapse(F.col("text")))
-    items = read_table(spark, d, "benchmark").withColumn("sh", text.shingles(toks)).select("item_id", F.size("sh").alias("m"), F.explode("sh").alias("s"))
-    found = own.join(items, "s").groupBy("doc_id", "item_id").agg((F.count("*") / F.max("m")).alias("containment"))
+    items = read_table(spark, d, "benchmark").withColumn("t", toks).withColumn("sh", text.shingle_hashes(F.col("t"))).select("item_id", F.size("sh").alias("m"), F.explode("sh").alias("s"))
+    few = items.count() <= MOST_ITEM_SHINGLES
+    own = tokened(spark, d).select("doc_id", F.explode(text.shingle_hashes(F.col("toks"))).alias("s"))
+    found = own.join(F.broadcast(items) if few else items, "s").groupBy("doc_id", "item_id").agg((F.count("*") / F.max("m")).alias("containment"))
     return rounded(found.where("containment >= 0.5"), "containment", digits=6)
 
 
@@ -377,7 +379,7 @@ def assign_reviewers(spark, d):
     return sampling.assign_reviewers(_drawn(spark, d), ["ann", "bob"], SEED, 0.2)
 
 
-@query(DRAWN + f"SELECT *, ((row_number() OVER (PARTITION BY reviewer ORDER BY sha256('{SEED}:batch:' || sample_id), sample_id) - 1) // 40 + 1)::INT AS batch FROM assigned")
+@query(DRAWN + f"SELECT *, ((row_number() OVER (PARTITION BY reviewer ORDER BY sha256('{SEED}:order:' || reviewer || ':' || sample_id), sample_id) - 1) // 40 + 1)::INT AS batch FROM assigned")
 def batch_numbers(spark, d):
     return sampling.batch_numbers(assign_reviewers(spark, d), 40, SEED)
 
@@ -432,13 +434,13 @@ def cohen_kappa(spark, d):
     return agreement.kappa(agreement_pivot(spark, d), ["aspect"], "ann", "bob")
 
 
-@query(REVIEWS + "SELECT item_id, split AS partition, aspect, CASE WHEN bob IS NULL OR ann = bob THEN ann WHEN item_id % 2 = 0 THEN 'positive' ELSE 'unknown' END AS status, CASE WHEN bob IS NOT NULL AND (ann = bob OR item_id % 2 = 0) THEN 'gold' ELSE 'weak' END AS quality, bob IS NOT NULL AND (ann = bob OR item_id % 2 = 0) AS adjudicated, CASE WHEN bob IS NULL THEN 'annotation/1:single-review' WHEN ann = bob THEN 'annotation/1:agreed' WHEN item_id % 2 = 0 THEN 'annotation/1:adjudicated:cy' ELSE 'annotation/1:disagreement-pending' END AS source FROM pairs")
+@query(REVIEWS + "SELECT item_id, split AS partition, aspect, CASE WHEN bob IS NULL OR ann = bob THEN ann WHEN item_id % 2 = 0 THEN 'positive' ELSE 'unknown' END AS status, CASE WHEN bob IS NOT NULL AND (ann = bob OR item_id % 2 = 0) THEN 'gold' ELSE 'weak' END AS quality, bob IS NOT NULL AND (ann = bob OR item_id % 2 = 0) AS adjudicated, CASE WHEN bob IS NULL THEN 'annotation/1/single-review' WHEN ann = bob THEN 'annotation/1/agreed' WHEN item_id % 2 = 0 THEN 'annotation/1/adjudicated:cy' ELSE 'annotation/1/disagreement-pending' END AS source FROM pairs")
 def resolve_labels(spark, d):
     reviews = _reviews(spark, d).withColumn("confidence", F.lit(0.5))
     grid = reviews.select("item_id", F.col("split").alias("partition"), "aspect").distinct()
     pairs = agreement.pivot(reviews, ["ann", "bob"]).where("ann <> bob AND item_id % 2 = 0")
     judged = pairs.select("item_id", "aspect", F.lit("positive").alias("adjudicated_status"), F.lit("cy").alias("adjudicator"))
-    return agreement.resolve(grid, reviews, judged).drop("confidence")
+    return agreement.resolve(grid, reviews, judged).drop("confidence", "annotators")
 
 
 # ------------------------------------------------------------------ resampling and scores
@@ -477,14 +479,6 @@ def bootstrap_interval(spark, d):
     return rounded(evaluate.interval(_boot(spark, d, "rule")), "low", "high")
 
 
-@query()
-def success_rule(spark, d):
-    per = evaluate.interval(_boot(spark, d, "rule"))
-    f1 = evaluate.macro_f1(decided(spark, d).withColumn("pred", F.lit(1)), ASPECTS)
-    seeds = per.crossJoin(f1).select(F.lit(1).alias("seed"), "macro_f1", ((F.col("low") + F.col("high")) / 2).alias("gain"), "low", F.lit(0.0).alias("worst_loss"))  # two tables of one row
-    return evaluate.success_rule(seeds, True, True)
-
-
 CENTRES = ", flat AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), sums AS (SELECT (label = 0) AS own, i, avg(x) AS x FROM flat GROUP BY 1, 2), centres AS (SELECT list(x ORDER BY i) FILTER (WHERE own) AS yes, list(x ORDER BY i) FILTER (WHERE NOT own) AS no FROM sums) "
 
 
@@ -509,26 +503,3 @@ def embedding_cache_miss(spark, d):
 def token_audit(spark, d):
     rows = decided(spark, d).join(tokened(spark, d).select("doc_id", "toks"), "doc_id")
     return decisions.token_audit(rows, F.size("toks").cast("long"), F.lit(12)).select("decision_id", "state_tokens", "truncated")
-
-
-SNIPPETS = [
-    ("a", "java", "int add(int a, int b) {\n  // sum\n  if (a > 0) { return a + b; }\n  return b;\n}"),
-    ("b", "python", "class A:\n    def m(self, x, *rest):\n        if x:\n            for y in rest:\n                print(y)\n        elif rest:\n            return 1\n"),
-    ("c", "go", "func (r *T) Name(a int, b string) int {\n  for i := 0; i < a; i++ {\n    if i > 1 { return i }\n  }\n  return 0\n}"),
-    ("d", "typescript", "function f(this: X, a = ',') {\n  return `a\n(${a})`;\n}"),
-    ("e", "cpp", "int run(void) { /* none */ return 1; }"),
-]
-
-
-def snippets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SNIPPETS, "id string, language string, source string")
-
-
-@query()
-def code_metrics(spark, d):
-    return snippets(spark).withColumn("m", code.metrics_udf("source", "language")).select("id", "m.*")
-
-
-@query()
-def extract_functions(spark, d):
-    return code.extract(snippets(spark), "source", "language").select("id", "name", "start_line", "end_line", "code")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import catalog
+from gleaner.plans import catalog, records  # noqa: F401  records adds its queries to the catalogue
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.code import EXTENSIONS
-from gleaner.functions.text import EXCLUDED_PATH
-from gleaner.types import LABELS, METRICS, SAMPLE
+from gleaner.functions.text import EXCLUDED_PATH, LICENSE_FILE
+from gleaner.types import LABELS, METRICS, SAMPLE, STATUSES
 
 
 def encode(df: DataFrame) -> DataFrame:
@@ -37,9 +37,10 @@ def samples_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(as_text(r.get(f.name)) for f in SAMPLE) for r in rows], SAMPLE)
 
 
-def read_csv(spark: SparkSession, path: str, columns: str, sep: str = ",") -> DataFrame:
-    """All text, with quoted line ends; empty fields and the word null stay as they are."""
-    return spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="\0", emptyValue="", sep=sep, enforceSchema=False).csv(path, schema=columns)
+def read_csv(spark: SparkSession, path: str, columns: str, sep: str = ",", keep: list[str] | None = None) -> DataFrame:
+    """All text, with quoted line ends; empty fields and the word null stay as they are. Only the columns to ``keep`` are parsed."""
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="\0", emptyValue="", sep=sep, enforceSchema=False).csv(path, schema=columns)
+    return (rows.select(*keep) if keep else rows).na.fill("")
 
 
 def drop_repeated_headers(df: DataFrame, column: str) -> DataFrame:
@@ -47,23 +48,39 @@ def drop_repeated_headers(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_sheets(spark: SparkSession, pattern: str, columns: str, aspects: list[str]) -> DataFrame:
-    """Review sheets <reviewer>_batch<n>.csv to rows (item_id, reviewer, aspect, status, confidence, notes); blank cells are left out."""
-    wide = read_csv(spark, pattern, columns).withColumn("reviewer", F.regexp_extract(F.input_file_name(), r"([^/]+)_batch\d+\.csv$", 1))
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), F.trim(a).alias("status"), F.expr(f"try_cast(`{a}_confidence` AS double)").alias("confidence")) for a in aspects]))
-    return wide.withColumn("_r", rows).select("item_id", "reviewer", "_r.*", "notes").where("status <> ''")
+    """Review sheets to rows (item_id, reviewer, aspect, status, confidence, notes); blank cells are left out, other statuses refused.
+
+    The reviewer is in the sheet's name, <reviewer>_batch<n>.csv, or in its folders, reviewer=<reviewer>/batch=<n>.
+    """
+    named = F.regexp_extract(F.input_file_name(), r"([^/=]+)(?:_batch\d+\.csv|/batch=\d+/[^/]*)$", 1)
+    wide = read_csv(spark, pattern, columns).withColumn("reviewer", named)
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), F.lower(F.trim(a)).alias("status"), F.expr(f"try_cast(`{a}_confidence` AS double)").alias("confidence")) for a in aspects]))
+    long = wide.withColumn("_r", rows).select("item_id", "reviewer", "_r.*", "notes").where("status <> ''")
+    refused = F.raise_error(F.concat_ws(" ", F.lit("invalid status"), "item_id", "aspect", "status"))
+    return long.withColumn("status", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(refused))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, language, source) of the source files below ``root``; hidden and excluded paths and bad UTF-8 are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return source_files(files.withColumn("rel", F.element_at(F.split("path", f"{root.rstrip('/').rpartition('/')[2]}/", 2), -1)))
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """Of files (path, rel, content) the sources, with their language; ``rel`` is the path below the tree's root."""
     ends = "|".join(EXTENSIONS)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("rel", F.element_at(F.split("path", f"{root.rstrip('/').rpartition('/')[2]}/", 2), -1))
     kept = files.where(F.col("rel").rlike(rf"\.({ends})$") & ~F.col("rel").rlike(r"(^|/)\.") & ~F.col("rel").rlike(EXCLUDED_PATH))
     table = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
     return kept.select("path", F.col("rel").alias("file_path"), table[F.regexp_extract("rel", r"\.(\w+)$", 1)].alias("language"), F.expr("try_validate_utf8(cast(content AS string))").alias("source")).where("source IS NOT NULL")
 
 
 def read_zip_json(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
-    """Rows of a JSON list inside zip archives, one archive at a time in a task."""
+    """Rows of a JSON list inside the zip archives at ``path``."""
+    return zip_records(spark.read.format("binaryFile").load(path), member, schema)
+
+
+def zip_records(archives: DataFrame, member: str, schema: str) -> DataFrame:
+    """Rows of a JSON list inside zip archives (content), one archive at a time in a task."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
@@ -71,11 +88,11 @@ def read_zip_json(spark: SparkSession, path: str, member: str, schema: str) -> D
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
                     yield pd.DataFrame({"row": [json.dumps(x) for x in json.load(f)]})
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row string")
+    text = archives.select("content").mapInPandas(run, "row string")
     return text.select(F.from_json("row", schema).alias("r")).select("r.*")
 
 
 def license_file(files: DataFrame) -> DataFrame:
     """(repository, license_file): the first name, in order, that looks like a license."""
-    named = F.when(F.col("name").rlike(r"(?i)^(licen[cs]e|copying|unlicense)(\..*)?$"), F.col("name"))
+    named = F.when(F.col("name").rlike(LICENSE_FILE), F.col("name"))
     return files.groupBy("repository").agg(F.min(named).alias("license_file"))

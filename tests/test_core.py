@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import code, text
 from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, sampling
-from gleaner.plans import catalog
-from gleaner.sources import files, sinks
+from gleaner.plans import catalog, records  # noqa: F401
+from gleaner.sources import files, loaders, sinks
 
 
 def test_registry_names_agree():
-    assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 45
+    assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 90
 
 
 def test_strip_comments_keeps_lines():
@@ -46,12 +46,67 @@ def test_extract_functions():
     assert code.functions("def (", "python") == []
 
 
-def test_udfs_run_on_workers(spark):
-    rows = catalog.code_metrics(spark, "").collect()
-    assert {r.id: r.parameter_count for r in rows} == {"a": 2, "b": 2, "c": 2, "d": 1, "e": 0}
-    assert catalog.extract_functions(spark, "").count() >= 4
-    norm = code.normalized(catalog.snippets(spark), "source", "language").select("id", "norm").collect()
-    assert dict(norm)["e"] == "int run(void) { return 1; }"
+def test_metrics_and_functions_run_on_workers(spark):
+    rows = spark.createDataFrame([("b", "python", "class A:\n    def m(self, x, *rest):\n        if x:\n            return 1\n"), ("e", "cpp", "int run(void) { /* none */ return 1; }")], "id string, language string, source string")
+    found = rows.withColumn("m", code.metrics_udf("source", "language")).select("id", "m.parameter_count").collect()
+    assert {r.id: r.parameter_count for r in found} == {"b": 2, "e": 0}
+    assert {(r.id, r.name) for r in code.extract(rows, "source", "language").collect()} == {("b", "m"), ("e", "run")}
+    assert dict(code.normalized(rows, "source", "language").select("id", "norm").collect())["e"] == "int run(void) { return 1; }"
+
+
+def test_functions_of_braces():
+    cpp = "int A::get(int a) const {\n  return a;\n}\nstatic int x = call(1);\nif (a) { b(); }\nvoid open(int q) {\n  while (q) { q--; }\n"
+    assert [f[:3] for f in code.functions(cpp, "cpp")] == [("get", 1, 3), ("open", 6, 8)]
+    js = "const f = (a) => { return a; };\nfunction g(a, b) { return a; }\nx = h(1, function (y) { return y; });"
+    assert [f[0] for f in code.functions(js, "javascript")] == ["g"]
+
+
+def test_greedy_split_equals_one_pass_in_plain_python(spark):
+    import hashlib
+
+    rng = random.Random(4)
+    rows = [(f"g{i}", s, rng.randrange(1, 9)) for i in range(70) for s in ("rows", "a", "b", "c") if s == "rows" or rng.random() < 0.6]
+    got = sampling.assign_splits(spark.createDataFrame(rows, "split_group string, stratum string, n long"), 5)
+    groups, total = {}, {}
+    for g, s, n in rows:
+        groups.setdefault(g, {})[s] = n
+        total[s] = total.get(s, 0) + n
+    have, want = {x: {} for x in sampling.RATIOS}, {}
+    for g in sorted(groups, key=lambda g: (-groups[g]["rows"], hashlib.sha256(f"5:{g}".encode()).hexdigest())):
+        gain = {x: sum(n * (share - have[x].get(s, 0) / total[s]) for s, n in groups[g].items()) for x, share in sampling.RATIOS.items()}
+        want[g] = max(gain, key=gain.get)
+        for s, n in groups[g].items():
+            have[want[g]][s] = have[want[g]].get(s, 0) + n
+    assert got == want
+
+
+def test_sheets_refuse_other_statuses(spark, tmp_path):
+    (tmp_path / "r_batch1.csv").write_text("item_id,toxic,toxic_confidence,notes\ni1, maybe,,\n")
+    rows = files.read_sheets(spark, str(tmp_path / "*_batch*.csv"), "item_id string, toxic string, toxic_confidence string, notes string", ["toxic"])
+    with pytest.raises(Exception, match="invalid status"):
+        rows.collect()
+
+
+def test_evidence_config_and_log(spark, tmp_path, capsys):
+    assert sinks.read_evidence(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "e.json").write_text('{"pass": true,\n "n": 2}')
+    assert sinks.read_evidence(spark, str(tmp_path / "e.json")) == {"pass": True, "n": 2}
+    assert sinks.config_hash({"b": 1, "a": 2}) == sinks.config_hash({"a": 2, "b": 1}) and len(sinks.config_hash({})) == 12
+    for line in ("one", "two"):
+        sinks.append_log(str(tmp_path / "log"), line)
+    assert [x.split()[-1] for x in (tmp_path / "log").read_text().splitlines()] == ["one", "two"] and "two" in capsys.readouterr().out
+
+
+def test_mining_and_pilot_counts(spark):
+    source = "\n".join(f"int f{i}(int a) {{\n  return a;\n}}" for i in range(9)) + "\nint short() { return 1; }\n"
+    mined = loaders.mine(spark.createDataFrame([("r", "c", "a.cpp", "cpp", source)], "repository string, commit string, file_path string, language string, source string"), cap=5)
+    assert mined.count() == 5 and mined.where("name = 'short'").count() == 0
+    rows = spark.createDataFrame([("train", "x", 1), ("train", "x", 0), ("val", "x", 1)], "split string, aspect string, label int")
+    counts = gates.pilot_counts(rows)
+    gates.pilot_counts(rows, counts)
+    assert gates.balanced_support(counts, ["train"]) and not gates.balanced_support(counts, ["train", "val"])
+    with pytest.raises(RuntimeError):
+        gates.pilot_counts(rows.where("label = 1"), counts)
 
 
 def test_text_functions(spark):
