@@ -62,7 +62,8 @@ def learn_languages(docs: DataFrame, learn, per_language: int = 300, per_text: i
     langs = known.select(lang_col).distinct().count()
     if langs > MOST_LANGUAGES:
         raise ValueError(f"{langs} languages; at most {MOST_LANGUAGES} dictionaries are broadcast")
-    texts = known.join(F.broadcast(ids), (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"]))  # at most per_language ids of each.select("_lang", F.xxhash64("_id").alias("h"), spread.alias("t"))
+    # At most per_language ids of each language are broadcast.
+    texts = known.join(F.broadcast(ids), (known[id_col] == ids["_id"]) & (known[lang_col] == ids["_lang"])).select("_lang", F.xxhash64("_id").alias("h"), spread.alias("t"))
     by: dict[str, list] = {}
     for r in texts.collect():
         by.setdefault(r._lang, []).append((r.h, r.t))
