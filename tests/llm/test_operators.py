@@ -226,18 +226,93 @@ def test_leaks(spark, edges, empty):
     assert decontam.without_leaks(edges, bench.limit(0)).count() == len(EDGES)
 
 
-def test_segments_are_maximal():
+def test_segments_are_all_the_maximal_ones():
     rng = random.Random(8)
-    for _ in range(200):
-        n = rng.randrange(1, 25)
-        scores = [rng.choice([0.0, 0.0, 1.0, 2.0]) for _ in range(n)]
-        at = [i for i, s in enumerate(scores) if s]
-        full = [s or -0.7 for s in scores]
-        best = max((sum(full[i:j]) for i in range(n) for j in range(i + 1, n + 1)), default=0)
-        found = toxicity.segments(at, [scores[i] for i in at], 0.7)
-        assert all(abs(sum(full[a:b]) - s) < 1e-9 for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
-        if at:
-            assert max(s for _, _, s in found) == pytest.approx(best)
+
+    def search(scores, low, high):  # the best segment, then those on both sides of it
+        best = max(((sum(scores[i:j]), i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0, 0, 0))
+        return search(scores, low, best[1]) + [best[1:]] + search(scores, best[2], high) if best[0] > 0 else []
+
+    for _ in range(150):
+        scores = [rng.choice([-1, -1, 1]) * rng.random() for _ in range(rng.randrange(0, 18))]
+        found = toxicity.segments(np.array(scores))
+        assert [(a, b) for a, b, _ in found] == search(scores, 0, len(scores))
+        assert all(abs(x - sum(scores[a:b])) < 1e-9 for a, b, x in found)
+
+
+def test_votes_equal_a_plain_search(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], 20)) for _ in range(60)]
+    sample = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "label int, text string")
+    m = quality.fit(sample, dims=8, k=5)
+    counts = np.stack([quality.features(t, quality._Words()) for t in texts[:20]])
+    for vector, got in zip(m.embed(counts), m.score(counts), strict=True):
+        cosines = [round(float(c), 5) for c in m.vectors @ vector]
+        near = sorted(range(60), key=lambda i: (-cosines[i], i))[:5]
+        votes = [max(cosines[i], 1e-6) ** 3 * m.weights[i] for i in near]
+        assert got == pytest.approx(sum(v * m.labels[i] for v, i in zip(votes, near, strict=True)) / sum(votes), abs=0.02)
+
+
+def test_repeated_lines_equal_a_plain_search(spark):
+    rng, passages = random.Random(9), []
+    for n in (5, 8, 14):
+        passages.append([" ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 13))) for _ in range(n)])
+    texts = []
+    for i in range(24):
+        own = [" ".join(f"d{i}x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12))) for _ in range(12)]
+        at = rng.randrange(12)
+        texts.append("\n".join(own[:at] + (passages[i % 4] if i % 4 < 3 else []) + own[at:]))
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, _id int, removed string")
+    out = {r.doc_id: r for r in linededup.remove_repeated(docs).collect()}
+    assert all(r._id == 1 for r in out.values())
+    seen = set()
+    for i, t in enumerate(texts):
+        lines, passage = t.split("\n"), passages[i % 4] if i % 4 < 3 else []
+        words = sum(len(x.split()) for x in passage)
+        want = [x for x in lines if x not in passage] if passage and i % 4 in seen and words >= 50 else lines
+        if not passage or i % 4 not in seen or words >= 50:
+            assert out[i].clean_text.split("\n") == want
+        seen.add(i % 4)
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 9, "a", 777, 778, "p") for i in range(6)], "doc_id long, text string, source string, size long, target long, _p string")
+    mixed = mixing.apply_mix(docs).collect()
+    assert mixed and all((r["size"], r["target"], r["_p"]) == (777, 778, "p") for r in mixed)
+    printed = fingerprints.fingerprint(docs.withColumn("fingerprint", F.lit("old"))).collect()
+    assert all(r["_p"] == "p" and r.fingerprint != "old" for r in printed)
+
+
+def test_the_pipeline_stage_by_stage(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    good, bad = [f"river{i}" for i in range(40)], ["BUY!!", "NOW!!", "###", "$$$"]
+    item = " ".join(f"question{i}" for i in range(20)) + ". " + " ".join(f"answer{i}" for i in range(8)) + "."
+    rows = [(i, " ".join(rng.choice(good if i % 4 else bad) for _ in range(60)), "en", f"s{i % 3}", None) for i in range(80)]
+    rows += [(100, rows[1][1], "en", "s1", 1), (101, rows[2][1] + " more", "en", "s1", 1), (102, rows[5][1] + " " + item, "en", "s0", 1), (103, None, "en", None, None), (104, "", "en", "s0", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text, docs, kept = {r[0]: r[1] for r in rows}, spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = sorted(r.doc_id for r in docs.collect())
+    assert {i for i in range(80) if i % 4} <= set(kept["quality"]) and not {i for i in range(80) if i % 4 == 0} & set(kept["quality"])
+    cache = WordHashes()
+    sets = {i: neardup.weighted_shingles(text[i], cache) for i in kept["quality"]}
+    alike = [(i, j) for i in sets for j in sets if i < j and neardup.similarity(sets[i], sets[j]) >= 0.8]
+    assert {(1, 100), (2, 101)} <= set(alike) and set(kept["near_dedup"]) == set(sets) - {j for _, j in alike}
+    assert kept["decontaminate"] == [i for i in kept["near_dedup"] if item not in (text[i] or "")] and 102 in kept["near_dedup"]
+    assert set(kept["mix"]) <= set(kept["decontaminate"]) and max(kept["mix"].count(i) for i in kept["mix"]) <= 3
+    blocks = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    blocks.write.parquet(str(tmp_path / "ids"))
+    read = tokenids.read_documents(spark, str(tmp_path / "ids")).collect()
+    plain = Tokenizer.from_file(tokenizer())
+    want = sorted((i, zlib.crc32(np.array([*plain.encode(text[i] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i in kept["mix"])
+    assert sorted((r.doc_id, r.ids_crc32) for r in read) == want
 
 
 def test_toxicity(spark, edges, empty):
