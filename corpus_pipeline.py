@@ -1,19 +1,25 @@
-"""The corpus pipeline: five stages, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages, each on all that its predecessor kept.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns mean to a stage what its operator's docstring says:
+no stage but the mix drops a document for having no text, unless the quality model rejects it; every stage but the last returns the columns of its input, whatever their names.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, mixing, neardup, quality, tokenids
-from gleaner.llm.common import fold, shared_folder
+from gleaner.llm.common import fold, fresh, shared_folder
 from gleaner.sources.tables import read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled rows of the original documents."""
+    """Documents that the quality classifier accepts; a text without a word scores 0 and goes. It learns from the labelled rows of the original documents."""
     model = quality.learn_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return quality.score_quality(docs, model, out="_score").where("_score >= 0.3").select(*docs.columns)
+    score = fresh(docs, "score")
+    return quality.score_quality(docs, model, out=score).where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them; one without words adds nothing, and is taken with the whole copies of its source only."""
     return mixing.apply_mix(docs)
 
 
