@@ -20,6 +20,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -44,16 +45,25 @@ _HEAD, _ENTRY = struct.Struct("<4sIQIII"), np.dtype([("id", "<i8"), ("n", "<u4")
 _FILES = "part long, block int, payload binary"
 #: Two blanks, or white space other than blanks and line feeds: where these stand, cutting a text before each blank could change its ids.
 _UNCUT = r"  |[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that never share a pretoken with a letter or digit before them; an apostrophe may.
+MARKS = ".,;:!?$#&%*()[]{}+-=/<>@_~\"|"
 #: Words that a worker's cache of ids may hold, some 200 bytes each.
 WORDS = 800_000
 
 
+def _marks(piece: str) -> tuple[str, str]:
+    """The piece cut before the marks at its end, if a letter or digit that all versions of Unicode know stands before them."""
+    stem = piece.rstrip(MARKS)
+    return (stem, piece[len(stem) :]) if stem and stem[-1] < "\u0250" and stem[-1].isalnum() else (piece, "")
+
+
 class Encoder:
     """Texts to ids as bytes (unsigned, 32 bits, little-endian), equal to encoding whole texts.
 
-    In a byte-level tokenizer a blank after something that isn't white space begins a new pretoken, so a text is cut there. Each
-    different piece of a batch is looked up in a cache of ids that come from the tokenizer, too; the pieces that it lacks are encoded
-    together, with line feeds between them that are found again in the ids.
+    Where a tokenizer's pretokens are those of plain byte-level ones, a blank after something that isn't white space begins a new
+    pretoken, so a text is cut there. A lone line feed is a pretoken, too, and one ends where marks follow a letter or digit. Each different piece
+    of a batch is looked up in a cache of ids that come from the tokenizer; those that it lacks are cut at feeds and marks, and what
+    is still unknown is encoded together, with line feeds between that are found again in the ids. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,44 +71,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of pieces after a blank, and of pieces with none before them.
         self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {"": b""}
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         if hasattr(self.tokenizer.model, "_resize_cache"):  # it would only hold what this cache lacks
             self.tokenizer.model._resize_cache(0)
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else -1
+        pretokens = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        plain = pretokens.get("type") == "ByteLevel" and pretokens.get("use_regex") and not pretokens.get("add_prefix_space")
+        self.cuts = bool(plain and self.tokenizer.normalizer is None and len(feed) == 1)
+        self.feed = feed[0] if self.cuts else -1
 
     def _all(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece after a blank; none of them is empty or holds a line feed."""
-        if self.feed >= 0:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, table: dict[str, bytes], pieces: list[str], before: str) -> None:
+        """Adds the ids of each piece after a blank or nothing to the table; no piece is empty or holds a line feed."""
+        for k in range(0, len(pieces), 512):
+            some = pieces[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + f"\n{before}".join(some)], add_special_tokens=False)[0].ids, "<u4")
             feeds = (4 * np.flatnonzero(ids == self.feed)).tolist()
-            if len(feeds) == len(pieces) - 1:
+            if len(feeds) == len(some) - 1:
                 held = ids.tobytes()
-                return [held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)]
-        return self._all([f" {p}" for p in pieces])
+                table.update(zip(some, (held[a:b] for a, b in zip([0, *(f + 4 for f in feeds)], [*feeds, len(held)], strict=True)), strict=True))
+            else:
+                table.update(zip(some, self._all([before + p for p in some]), strict=True))
 
     def _after_blank(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.known.get, pieces))
         new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
         if not new:
             return found
-        if len(self.known) + len(new) > WORDS:  # those that came first are the frequent ones
-            self.known = dict(islice(self.known.items(), WORDS // 2))
-        learnt = {}
-        for i in range(0, len(plain := [p for p in new if p and "\n" not in p]), 4096):
-            learnt.update(zip(plain[i : i + 4096], self._plain(plain[i : i + 4096]), strict=True))
-        if rest := [p for p in new if not p or "\n" in p]:
-            learnt.update(zip(rest, self._all([f" {p}" for p in rest]), strict=True))
-        self.known.update(learnt)
-        return [learnt[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        # The tables are cut back before, never while their entries are in use; those that came first are the frequent ones.
+        self.known, self.bare = (dict(islice(t.items(), WORDS // 2)) if len(t) + len(new) > WORDS else t for t in (self.known, self.bare))
+        whole, made, blank, bare = [], {}, [], set()
+        for p in new:
+            if p.isalpha():
+                blank.append(p)
+            elif all(parts := p.split("\n")):
+                made[p] = (stem, tail), *others = [_marks(x) for x in parts]
+                blank.append(stem)
+                bare.add(tail)
+                for pair in others:
+                    bare.update(pair)
+            else:
+                whole.append(p)
+        self._learn(self.known, [p for p in dict.fromkeys(blank) if p not in self.known], " ")
+        self._learn(self.bare, [p for p in bare if p not in self.bare], "")
+        feed = np.array([self.feed], "<u4").tobytes()
+        for p, ((stem, tail), *others) in made.items():
+            self.known[p] = self.known[stem] + self.bare[tail] + b"".join(feed + self.bare[s] + self.bare[t] for s, t in others)
+        self.known.update(zip(whole, self._all([f" {p}" for p in whole]), strict=True))
+        return [self.known[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; a null one has none."""
         texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            return self._all(texts.to_pylist())
         uncut = pc.match_substring_regex(texts, f"{_UNCUT}|{self.special}" if self.special else _UNCUT)
         whole = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
         out = dict(zip(whole.tolist(), self._all(texts.take(pa.array(whole)).to_pylist()), strict=True)) if len(whole) else {}
