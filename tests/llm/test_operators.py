@@ -97,7 +97,7 @@ def test_starts_go_on_over_blocks_and_parts(spark, tmp_path):
 def test_word_cache_equals_whole_texts(monkeypatch):
     monkeypatch.setattr(tokenids, "WORDS", 40)
     coder, rng, plain = tokenids.Encoder(tokenizer()), random.Random(4), Tokenizer.from_file(tokenizer())
-    parts = ["a", "Bc", " ", "\n", "\t", ".", "'s", "12", "é", "漢", "  ", "<|endoftext|>", "\r", "\x1c", "\u00a0", "\n ", " \n", "\n\n"]
+    parts = ["a", "Bc", " ", "\n", "\t", ".", "'s", "12", "é", "漢", "  ", "<|endoftext|>", "\r", "\x1c", "\u00a0", "\n ", " \n", "\n\n", ",", "$$", "_", '"', "\u0301", "²"]
     for some in (parts, [p for p in parts if p not in ("\t", "  ", "\r", "\x1c", "\u00a0", "<|endoftext|>")]):
         for _ in range(40):
             texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(20)]
