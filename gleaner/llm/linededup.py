@@ -94,6 +94,7 @@ def remove_repeated(docs: DataFrame, least_words: int = 20, long_line: int = 50,
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "id", "line", "n"])
 
+    # What grows with the documents is joined by merging at every size, never by broadcasting it.
     tables = Tables(docs.sparkSession, "line_chunks")
     chunks = tables.put("chunks", map_arrow(plain, cut, "key long, id long, line int, n int"))
     first = chunks.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("id", "line")).alias("first")).where("times > 1").select("key", F.col("first.id").alias("src"), F.col("first.line").alias("src_line"))
@@ -120,17 +121,17 @@ def remove_repeated(docs: DataFrame, least_words: int = 20, long_line: int = 50,
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "line", "n", "src", "src_line", "span"])
 
-    spans = tables.put("spans", map_arrow(plain.join(again, "id"), gather, "id long, line int, n int, src long, src_line int, span string"))
+    spans = tables.put("spans", map_arrow(plain.join(again.hint("merge"), "id"), gather, "id long, line int, n int, src long, src_line int, span string"))
     tables.drop("chunks")
     asked = spans.select("src", "src_line", "n").distinct().groupBy("src").agg(F.collect_list(F.struct(F.col("src_line").alias("line"), "n", F.col("src").alias("src"), F.col("src_line").alias("src_line"))).alias("found"))
-    first_spans = map_arrow(plain.join(asked.withColumnRenamed("src", "id"), "id"), cut_out, "src long, src_line int, n int, first_span string")
+    first_spans = map_arrow(plain.join(asked.withColumnRenamed("src", "id").hint("merge"), "id"), cut_out, "src long, src_line int, n int, first_span string")
     equal = spans.join(first_spans, ["src", "src_line", "n"]).where(F.col("span") == F.col("first_span"))  # byte by byte, once for each occurrence
     equal = equal.groupBy("id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
     equal = tables.put("equal", equal)
     tables.drop("spans")
     docs, schema = extended(docs, clean_text="string", n_lines="int", n_removed="int", removed="array<struct<line:int,n:int>>")
     key, cuts = fresh(docs, "_id"), fresh(docs, "_spans")
-    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(equal.select(F.col("id").alias(key), F.col("spans").alias(cuts)), key, "left").select(*(f"`{c}`" for c in docs.columns), cuts)
+    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(equal.select(F.col("id").alias(key), F.col("spans").alias(cuts)).hint("merge"), key, "left").select(*(f"`{c}`" for c in docs.columns), cuts)
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, text_col, 1_000_000):
