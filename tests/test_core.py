@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,26 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(sig) == 64 and all(0 <= x < (1 << 61) - 1 for x in sig)
 
 
+def test_near_pairs_store_no_sets_and_lose_none(spark, tmp_path):
+    """Copies, a large group of near copies, texts that share a passage only: all pairs, with little written."""
+    rng = random.Random(8)
+    word = lambda: 0x9E3779B97F4A7C15 * rng.randrange(2000) % (1 << 63)
+    base, passage = [word() for _ in range(300)], [word() for _ in range(40)]
+    edited = lambda: [word() if rng.random() < 0.02 else x for x in base]
+    lists = [edited() for _ in range(300)] + [base] * 80 + [passage + [word() for _ in range(200)] for _ in range(120)] + [passage[:5], passage[:4], []]
+    df = spark.createDataFrame([(i, "x", w) for i, w in enumerate(lists)] + [(900, None, base), (901, "y", base), (902, "x", None)], "sample_id long, lang string, toks array<bigint>")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in lists]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(lists)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files_of = lambda pattern: set(folder.rglob(pattern))
+    tables, checkpoints = files_of("entries/*.parquet"), files_of("rdd-*")
+    got = {(r.a, r.b): r.similarity for r in dedupe.near_pairs(df, "toks", "lang", k=5).collect()}
+    assert got == want and len(want) > 20_000
+    assert files_of("rdd-*") == checkpoints and sum(p.stat().st_size for p in files_of("entries/*.parquet") - tables) < 8 * sum(map(len, sets)) / 2
+    links = dedupe.near_links(df, "toks", "lang", k=5)
+    assert {(r.node, r.label) for r in dedupe.components(links).collect()} == {(r.node, r.label) for r in dedupe.components(spark.createDataFrame(list(want), "a long, b long")).collect()}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
