@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import code, text
+from gleaner.functions.tokens import hashed_tokens
 from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, sampling
 from gleaner.plans import catalog, records  # noqa: F401
 from gleaner.sources import files, loaders, sinks
@@ -153,6 +156,32 @@ def test_near_pairs_store_no_sets_and_lose_none(spark, tmp_path):
     assert {(r.node, r.label) for r in dedupe.components(links).collect()} == {(r.node, r.label) for r in dedupe.components(spark.createDataFrame(list(want), "a long, b long")).collect()}
 
 
+def test_hashed_tokens_are_those_of_the_expression(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice('aZ_$09\u0663..""\n \t\u00e9\U0001f600\x0b\u3000-') for _ in range(rng.randrange(40))) for _ in range(3000)] + [None]
+    got, known = hashed_tokens(pa.array(texts)).to_pylist(), {}
+    want = [r.t or [] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.tokens(F.col("t")).alias("t")).collect()]
+    for hashes, tokens in zip(got, want, strict=True):
+        assert len(hashes) == len(tokens) and all(known.setdefault(t, h) == h for t, h in zip(tokens, hashes, strict=True))
+    assert len(set(known.values())) == len(known) > 500
+
+
+def test_near_pairs_of_texts_store_no_texts(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(("{0}", "{0}.5", '"{0}"', "w{0}", "\u00e9{0}")).format(rng.randrange(900))
+    base = [[word() for _ in range(80)] for _ in range(20)]
+    rows = [" ".join(word() if rng.random() < 0.01 else x for x in base[i % 20]) for i in range(100)] + ["a b c d e f"] * 2 + [None]
+    df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(rows)] + [(900, None, rows[0]), (901, "y", rows[0])], "sample_id long, lang string, t string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    stored = lambda: set(folder.rglob("entries"))
+    before = stored()
+    got = {(r.a, r.b): r.similarity for r in dedupe.near_pairs(df, "t", "lang", k=5, least=10).collect()}
+    assert stored() == before
+    sets = [set(zip(*(t[j:] for j in range(5)), strict=False)) for t in ([x.group() for x in re.finditer(text.TOKEN, r or "")] for r in rows[:100])]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(100), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert got == want and len(want) > 50
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
