@@ -5,13 +5,14 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import code, text
 from gleaner.functions.tokens import hashed_tokens
-from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, sampling
+from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, nearpairs, sampling
 from gleaner.plans import catalog, records  # noqa: F401
 from gleaner.sources import files, loaders, sinks
 
@@ -182,6 +183,13 @@ def test_near_pairs_of_texts_store_no_texts(spark):
     assert got == want and len(want) > 50
 
 
+def test_frequent_hashes_are_counted_over_all_tasks_of_a_worker(monkeypatch):
+    monkeypatch.setattr(nearpairs, "SEEN", 1 << 12)
+    own = [np.array([7 << 3, (100 + i) << 3], np.uint64) for i in range(5)]
+    assert [[x.tolist() for x in nearpairs._frequent("some run", [s])] for s in own] == [[[], []]] * 2 + [[[56], [1]]] * 3
+    assert [x.tolist() for x in nearpairs._frequent("another run", own[:2])] == [[], []]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
