@@ -1,6 +1,7 @@
 """Literals, invariants and brute-force twins of the engine's operators, on small data."""
 
 import itertools
+import math
 import random
 import re
 from pathlib import Path
@@ -190,6 +191,33 @@ def test_frequent_hashes_are_counted_over_all_tasks_of_a_worker(monkeypatch):
     assert [x.tolist() for x in nearpairs._frequent("another run", own[:2])] == [[], []]
 
 
+def test_prefix_cells_lose_no_pair_and_list_no_shared_bucket():
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 1 << 62, rng.integers(5, 90)).astype(np.uint64)) for _ in range(12)]
+    sets = []
+    for i in range(90):
+        s = base[i % 12]
+        s = s[rng.random(len(s)) > 0.08]
+        sets.append(np.unique(np.concatenate((s, rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64)))))
+    buckets = [tuple(int(b) for b in rng.integers(-1, 9, 2)) for _ in sets]
+    held = [(s[: len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1], len(s), -(1 << 40) + i, *b) for i, (s, b) in enumerate(zip(sets, buckets, strict=True))]
+    parts = [nearpairs._opened(*x) for half in (held[::2], held[1::2]) for x in zip(*nearpairs._cells(half, 300).to_pydict().values(), strict=True)]
+    got = {(int(v) >> 32, int(v) & 0xFFFFFFFF) for p in nearpairs._meetings(*map(np.concatenate, zip(*parts, strict=True)), 0.8) for v in p}
+    alike = lambda i, j: (n := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - n)
+    share = lambda i, j: any(u == v >= 0 for u, v in zip(buckets[i], buckets[j], strict=True))
+    near = {(i, j) for i, j in itertools.combinations(range(90), 2) if alike(i, j) >= 0.8}
+    assert near - got == {(i, j) for i, j in near if share(i, j)} and near & got
+    assert not any(share(i, j) for i, j in got)
+    # Sets that share only what is far behind in one of them can't be similar.
+    assert [*nearpairs._meetings(*map(np.array, ([3, 3], [0, 15], [100, 100], [1, 2], [-1, -1], [-1, -1])), 0.8)] in ([], [[]])
+
+
+def test_prefixes_take_few_bytes():
+    rng = np.random.default_rng(3)
+    held = [(np.sort(rng.integers(0, 1 << 63, 60)).astype(np.uint64), 300, int(rng.integers(0, 1 << 62)), -1, -1) for _ in range(2000)]
+    assert sum(map(len, nearpairs._cells(held, 128).column("packed").to_pylist())) < 10 * 60 * 2000
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
