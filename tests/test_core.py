@@ -158,6 +158,22 @@ def test_near_pairs_store_no_sets_and_lose_none(spark, tmp_path):
     assert {(r.node, r.label) for r in dedupe.components(links).collect()} == {(r.node, r.label) for r in dedupe.components(spark.createDataFrame(list(want), "a long, b long")).collect()}
 
 
+def test_crossing_pairs_are_those_that_differ_and_are_not_shuffled(spark):
+    """Copies and near copies in three parts: the pairs of different parts, with both; no exchange above the joins that make pairs."""
+    rng = random.Random(6)
+    base = [[rng.randrange(1 << 40) for _ in range(80)] for _ in range(8)]
+    lists = [base[i % 8] if i % 3 else [rng.randrange(1 << 40) if rng.random() < 0.01 else x for x in base[i % 8]] for i in range(120)]
+    parts = [rng.choice(["test", "train", None]) for _ in lists]
+    df = spark.createDataFrame(list(zip(range(120), ["x"] * 120, lists, parts, strict=True)), "sample_id long, lang string, toks array<bigint>, split string")
+    near = {(r.a, r.b): r.similarity for r in dedupe.near_pairs(df, "toks", "lang", k=5).collect()}
+    got = dedupe.near_pairs(df, "toks", "lang", k=5, crossing="split")
+    rows = got.collect()
+    assert {(r.a, r.b): (r.similarity, r.split_a, r.split_b) for r in rows} == {(a, b): (v, parts[a], parts[b]) for (a, b), v in near.items() if parts[a] and parts[b] and parts[a] != parts[b]}
+    assert len(rows) == len({(r.a, r.b) for r in rows}) > 100
+    top = got._jdf.queryExecution().optimizedPlan().treeString().split("Join")[0]
+    assert "Union" in top and "Aggregate" not in top and "Repartition" not in top
+
+
 def test_hashed_tokens_are_those_of_the_expression(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice('aZ_$09\u0663..""\n \t\u00e9\U0001f600\x0b\u3000-') for _ in range(rng.randrange(40))) for _ in range(3000)] + [None]
