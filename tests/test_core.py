@@ -234,6 +234,14 @@ def test_prefixes_take_few_bytes():
     assert sum(map(len, nearpairs._cells(held, 128).column("packed").to_pylist())) < 10 * 60 * 2000
 
 
+def test_components_keep_one_round_on_disk(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: {p.parent for p in folder.rglob("*.parquet")} | set(folder.rglob("rdd-*"))
+    before = held()
+    labels = dedupe.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert len(held() - before) == 1 and {(r.node, r.label) for r in labels.collect()} == {(i, 0) for i in range(41)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
