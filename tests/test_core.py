@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import code, text
-from gleaner.functions.tokens import hashed_tokens
+from gleaner.functions.tokens import fingerprints, hashed_tokens
 from gleaner.operators import agreement, decisions, dedupe, evaluate, gates, nearpairs, sampling
 from gleaner.plans import catalog, records  # noqa: F401
 from gleaner.sources import files, loaders, sinks
@@ -184,6 +184,24 @@ def test_hashed_tokens_are_those_of_the_expression(spark):
     assert len(set(known.values())) == len(known) > 500
 
 
+def test_fingerprints_are_those_of_the_expression(spark):
+    rng = random.Random(2)
+    some = [*text.KEYWORDS, *map(str.upper, text.KEYWORDS), *(k + "x" for k in text.KEYWORDS), *(k + "9" for k in text.KEYWORDS), *(k[:-1] for k in text.KEYWORDS), "a", "_", "$if", "9if", "synchronized" * 17, "1.2.3", "12", "\u0663.4", "\u00e9", "\u6f22", "\U0001f600", '""', '"', ".", "(", "-"]
+    texts = ["".join(rng.choice(some) + rng.choice(["", " ", "\n", "\u3000", "\x0b"]) for _ in range(rng.choice((20, 45, 90)))) for _ in range(900)] + ["a " * 39, "a " * 40, " ".join(text.KEYWORDS), "", None]
+    got = fingerprints(pa.array(texts)).to_pylist()
+    abstract = text.abstracted(text.tokens(text.collapse(F.coalesce("t", F.lit("")))))
+    want = [r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.fingerprint(abstract).alias("f")).collect()]
+    assert got == want and len(set(got)) > 300 and [bool(x) for x in got[-5:]] == [False, True, True, False, False]
+
+
+def test_split_groups_join_renamed_texts(spark, tmp_path):
+    body = "def {0}({1}, x): if {1} > {2}: return {0}({1} - {2}) " * 4
+    rows = [body.format("f", "a", "1"), body.format("other", "b9", "2.5"), body.format("\u00e9", "c", "7").upper(), body.format("g", "h", "1") + "else", "f(a)", "g(b)", None]
+    spark.createDataFrame([(10 + i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.split_group for r in catalog.split_groups(spark, str(tmp_path)).collect()}
+    assert got == {i: f"g:{10 if i == 11 else i}" for i in range(10, 17)}
+
+
 def test_near_pairs_of_texts_store_no_texts(spark):
     rng = random.Random(4)
     word = lambda: rng.choice(("{0}", "{0}.5", '"{0}"', "w{0}", "\u00e9{0}")).format(rng.randrange(900))
